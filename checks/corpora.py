@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions import text
-from patchlake.functions.frames import computed
+from patchlake.functions.frames import computed, spread
 from patchlake.operators.deliveries import hmac_sha256
 from patchlake.operators.points import metric_rows
 
@@ -40,9 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, ready for heavy work on each of them."""
+    return spread(table(spark, sf_dir, name))
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as changed files: repository, pull request, place in it, path parts and words."""
-    made = table(spark, sf_dir, "documents").selectExpr(
+    made = texts(spark, sf_dir, "documents").selectExpr(
         "doc_id", "n_chars", "concat('org/r', doc_id % 7) repo", "doc_id div 35 pr", "(doc_id div 7) % 5 file_ord",
         "element_at(array('py','py','js','ts','java','go','mjs','md'), cast(doc_id % 8 + 1 as int)) ext",
         "element_at(array('src','app/core','vendor','lib/utils'), cast((doc_id div 8) % 4 + 1 as int)) dir",

@@ -35,7 +35,7 @@ NAMES = ["Imports", "the", "ation", "zq"]
 # Security scan
 
 def _document_issues(spark, sf, kinds=scan.KINDS):
-    return scan.issue_rows(corpora.table(spark, sf, "documents"), "text", FILE, kinds)
+    return scan.issue_rows(corpora.texts(spark, sf, "documents"), "text", FILE, kinds)
 
 
 def security_by_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,11 +47,11 @@ def security_issues_documents(spark, sf):
 
 
 def security_issues_pages(spark, sf):
-    return scan.issue_rows(corpora.table(spark, sf, "pages"), "html", ["page_id"])
+    return scan.issue_rows(corpora.texts(spark, sf, "pages"), "html", ["page_id"])
 
 
 def security_issues_conversations(spark, sf):
-    return scan.issue_rows(corpora.table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
+    return scan.issue_rows(corpora.texts(spark, sf, "conversations"), "text", ["conv_id", "turn"])
 
 
 def security_issues_patches(spark, sf):

@@ -26,7 +26,7 @@ def parsed(answer: Column) -> Column:
     numbered = F.transform(
         F.filter(stripped, lambda c: c["text"] != ""),
         lambda c: F.struct(
-            c["pos"], F.regexp_extract(c["text"], r"\A\d+", 0).try_cast("bigint").alias("line"), c["text"].alias("text")
+            c["pos"], F.nullif(F.regexp_extract(c["text"], r"\A\d+", 0), F.lit("")).try_cast("bigint").alias("line"), c["text"].alias("text")
         ),
     )
     return F.when(has_comments(answer), numbered).otherwise(

@@ -7,6 +7,14 @@ from patchlake import fixed
 from patchlake.functions import text
 from patchlake.functions.frames import computed, exploded
 
+# A line without one of these cannot match the pattern, so the costly search is left out.
+_NEEDED = {
+    ("python", "function"): ["def"], ("python", "class"): ["class"], ("python", "async_function"): ["async"],
+    ("javascript", "function"): ["function", "("], ("javascript", "class"): ["class"],
+    ("typescript", "function"): ["function", "("], ("typescript", "class"): ["class"], ("typescript", "interface"): ["interface"],
+    ("java", "method"): ["("], ("java", "class"): ["class"], ("go", "function"): ["func"], ("go", "struct"): ["struct"],
+}
+
 _TYPE = "array<struct<line:int,type_ord:int,type:string,name:string>>"
 
 
@@ -15,24 +23,26 @@ def _name(line: Column, pattern: str, groups: list[int]) -> Column:
     return F.coalesce(*[F.nullif(name, F.lit("")) for name in found[:-1]], found[-1])
 
 
-def _of_pattern(code_lines: Column, order: int, kind: str, pattern: str, groups: list[int]) -> Column:
-    named = F.transform(
-        code_lines,
-        lambda line, i: F.struct(
-            (i + 1).alias("line"),
-            F.lit(order).alias("type_ord"),
-            F.lit(kind).alias("type"),
+def _of_pattern(code_lines: Column, needed: list[str], order: int, kind: str, pattern: str, groups: list[int]) -> Column:
+    def found(line: Column, i: Column) -> Column:
+        may_match = line.contains(needed[0])
+        for literal in needed[1:]:
+            may_match = may_match | line.contains(literal)
+        named = F.struct(
+            (i + 1).alias("line"), F.lit(order).alias("type_ord"), F.lit(kind).alias("type"),
             _name(line, pattern, groups).alias("name"),
-        ),
-    )
-    return F.filter(named, lambda d: d["name"] != "")
+        )
+        return F.when(may_match, named)
+
+    # The name of a line that does not match is empty; a line that was left out is null.
+    return F.filter(F.transform(code_lines, found), lambda d: d["name"] != "")
 
 
 def definitions(code_lines: Column, language: Column) -> Column:
     """Array of definitions, by type in pattern order and then by line. At most one per type and line."""
     chosen = None
     for name, patterns in fixed.DEFINITIONS.items():
-        found = F.concat(*[_of_pattern(code_lines, order, *row) for order, row in enumerate(patterns)])
+        found = F.concat(*[_of_pattern(code_lines, _NEEDED[name, row[0]], order, *row) for order, row in enumerate(patterns)])
         chosen = F.when(language == name, found) if chosen is None else chosen.when(language == name, found)
     return chosen.otherwise(F.array().cast(_TYPE))
 

@@ -20,14 +20,18 @@ def _stays(line: Column) -> Column:
 def with_diff_ranges(df: DataFrame, patch: str = "patch", out: str = "diff_ranges") -> DataFrame:
     """Add the ranges (first, last) of commentable lines of the new file, one per hunk."""
     df = computed(df, _lines=text.lines(F.coalesce(F.col(patch), F.lit(""))))
-    start = lambda line: F.regexp_extract(line, r"\A" + fixed.HUNK_HEADER, 1).try_cast("bigint")
-    df = computed(
-        df,
-        _heads=F.filter(
-            F.transform("_lines", lambda line, i: F.struct(i.alias("pos"), start(line).alias("start"))),
-            lambda head: head["start"].isNotNull(),
-        ),
+    start = lambda line: F.regexp_extract(line, r"\A" + fixed.HUNK_HEADER, 1)
+    heads = F.array_compact(
+        F.transform(
+            "_lines",
+            lambda line, i: F.when(line.startswith("@@ -"), F.struct(i.alias("pos"), F.nullif(start(line), F.lit("")).alias("start"))),
+        )
     )
+    heads = F.transform(
+        F.filter(heads, lambda head: head["start"].isNotNull()),
+        lambda head: F.struct(head["pos"], head["start"].try_cast("bigint").alias("start")),
+    )
+    df = computed(df, _heads=F.filter(heads, lambda head: head["start"].isNotNull()))
 
     def of_hunk(head: Column, i: Column) -> Column:
         end = F.coalesce(F.get(F.col("_heads"), i + 1)["pos"], F.size("_lines"))
