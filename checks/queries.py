@@ -211,7 +211,7 @@ def chunks_fixed(spark, sf):
 
 
 def _chunk_table(spark, sf):
-    return indexing.chunk_table(corpora.code_files(spark, sf).drop("language"), PR)
+    return indexing.chunk_table(corpora.code_files(spark, sf).drop("language"), PR, scratch(spark))
 
 
 def chunk_numbers(spark, sf):

@@ -28,10 +28,14 @@ def indexed_files(files: DataFrame, skip_blank: bool) -> DataFrame:
     return kept.withColumn("language", text.language(text.extension(F.col("file_path"))))
 
 
-def chunk_table(files: DataFrame, group: list[str], skip_blank: bool = False) -> DataFrame:
-    """Numbered chunks of the files of each index. `file_ord` orders the files of a group."""
+def chunk_table(files: DataFrame, group: list[str], folder: str, skip_blank: bool = False) -> DataFrame:
+    """Numbered chunks of the files of each index. `file_ord` orders the files of a group.
+
+    Files are cut once: the numbers come from the saved chunks, of which they read the keys only.
+    """
     kept = indexed_files(files, skip_blank)
-    return number_chunks(function_chunks(kept, [*group, "file_ord", "file_path", "language"]), group)
+    cut = function_chunks(kept, [*group, "file_ord", "file_path", "language"])
+    return number_chunks(saved(cut, f"{folder}/cut"), group)
 
 
 def embed_chunks(chunks: DataFrame, group: list[str], embed: Embed, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
@@ -48,10 +52,10 @@ def _index(chunks: DataFrame, group: list[str], embed: Embed, size: int, folder:
 
 def index_repositories(files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Index of whole repositories, keyed by repo. Files have `file_ord`, their order in the repository."""
-    return _index(chunk_table(files, ["repo"], skip_blank=True), ["repo"], embed, size, folder)
+    return _index(chunk_table(files, ["repo"], folder, skip_blank=True), ["repo"], embed, size, folder)
 
 
 def index_pull_requests(pr_files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Index of the changed files of pull requests, keyed by (repo, pr)."""
     files = pr_files.withColumn("file_path", F.col("filename"))
-    return _index(chunk_table(files, ["repo", "pr"]), ["repo", "pr"], embed, size, folder)
+    return _index(chunk_table(files, ["repo", "pr"], folder), ["repo", "pr"], embed, size, folder)
