@@ -25,6 +25,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with equal keys together, in as many partitions as the session is set to.
+
+    For Python work on each group. Adaptive execution would put partitions of few bytes together, but
+    the work is in the groups and not in the bytes. A grouping by the same keys adds no shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
     """Write to parquet and go on from there: what came before, model calls too, is not run again,
     whatever executors are lost later. The path has to be one that all executors share."""

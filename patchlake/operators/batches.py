@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed
+from patchlake.functions.frames import computed, partitioned
 
 BLOCK = 16384
 FAN = 512
@@ -108,13 +108,13 @@ def token_batches(
     numbered_type = T.StructType([*_fields(df, group), _long("_pos"), _long("batch")])
 
     def numbered(placed: DataFrame) -> DataFrame:
-        return placed.groupBy(*group, "_block").applyInPandas(number_rows, numbered_type)
+        return partitioned(placed, *group, "_block").groupBy(*group, "_block").applyInPandas(number_rows, numbered_type)
 
     start = {"_entry": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")}
     first = numbered(rows.where(F.col("_block") == 0).withColumns(start))
     large = rows.where(F.col("_block") == 1).select(*group).distinct()
     of_large = rows.join(large, group, "left_semi")
-    tables = of_large.groupBy(*group, "_block").applyInPandas(chain, table_type)
+    tables = partitioned(of_large, *group, "_block").groupBy(*group, "_block").applyInPandas(chain, table_type)
     entries = _entries(tables, group, max_items).where(F.col("_block") > 0)
     later = numbered(rows.where(F.col("_block") > 0).join(entries, [*group, "_block"]))
     return first.unionByName(later).withColumnRenamed("_pos", pos)
@@ -158,19 +158,20 @@ def embed_texts(
     size: int = fixed.EMBEDDING_SIZE,
     max_tokens: int = fixed.BATCH_TOKENS,
     max_items: int = fixed.BATCH_ITEMS,
+    tokens: str | None = None,
 ) -> DataFrame:
     """Embed the texts in token-aware batches, one model call per batch.
 
     Adds `batch`, `embedding`, `embed_ok` and `embed_seconds`. The texts of a failed call get zeros.
-    The input should be a table, as it is read several times. Save the result before it is used more
+    The input should be a table, as it is read several times. With `tokens`, a column of the tokens of
+    each cut text, the texts themselves are read once, for the calls. Save the result before it is used more
     than once, or the model is called again.
     """
     import time
 
     cut = df.withColumn("_text", text.truncate(F.col(source)))
-    numbered = token_batches(
-        cut.withColumn("_n", text.tokens(F.col("_text"))), group, pos, "_n", max_tokens, max_items
-    )
+    counted = df if tokens else cut.withColumn("_n", text.tokens(F.col("_text")))
+    numbered = token_batches(counted, group, pos, tokens or "_n", max_tokens, max_items)
     ready = cut.select(*group, pos, "_text").join(numbered, [*group, pos])
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +190,7 @@ def embed_texts(
         *_fields(df, [*group, pos]), _long("batch"), T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("embed_ok", T.BooleanType()), T.StructField("embed_seconds", T.DoubleType()),
     ])
-    return ready.groupBy(*group, "batch").applyInPandas(call, out_type)
+    return partitioned(ready, *group, "batch").groupBy(*group, "batch").applyInPandas(call, out_type)
 
 
 def embed_queries(df: DataFrame, source: str, embed: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import vectors
-from patchlake.functions.frames import computed, exploded
+from patchlake.functions.frames import computed, exploded, partitioned
 from patchlake.operators.batches import embed_queries
 
 CHUNK_BLOCK = 4096
@@ -74,7 +74,7 @@ def nearest(
     offered = chunks.select(*keys, "_cb", "chunk_idx", "file_path", "embedding").join(cells, [*keys, "_cb"])
 
     # Both sides come from the same cells; new column ids keep them apart in the co-group.
-    asked, offered = asked.toDF(*asked.columns), offered.toDF(*offered.columns)
+    asked, offered = (partitioned(side.toDF(*side.columns), *keys, "_qb", "_cb") for side in (asked, offered))
 
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         offered = offered.sort_values("chunk_idx")

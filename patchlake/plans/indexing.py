@@ -29,19 +29,22 @@ def indexed_files(files: DataFrame, skip_blank: bool) -> DataFrame:
 
 
 def chunk_table(files: DataFrame, group: list[str], folder: str, skip_blank: bool = False) -> DataFrame:
-    """Numbered chunks of the files of each index. `file_ord` orders the files of a group.
+    """Numbered chunks of the files of each index, with the tokens of their embedding text.
+    `file_ord` orders the files of a group.
 
     Files are cut once: the numbers come from the saved chunks, of which they read the keys only.
     """
     kept = indexed_files(files, skip_blank)
     cut = function_chunks(kept, [*group, "file_ord", "file_path", "language"])
+    cut = cut.withColumn("n_tokens", text.tokens(text.truncate(embedding_text())))
     return number_chunks(saved(cut, f"{folder}/cut"), group)
 
 
 def embed_chunks(chunks: DataFrame, group: list[str], embed: Embed, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Chunks with `embedding` and the facts of the call that made it; unit length but for failed calls."""
     texts = chunks.withColumn("_embed_text", embedding_text())
-    embedded = embed_texts(texts.select(*group, "chunk_idx", "_embed_text"), group, "chunk_idx", "_embed_text", embed, size)
+    texts = texts.select(*group, "chunk_idx", "n_tokens", "_embed_text")
+    embedded = embed_texts(texts, group, "chunk_idx", "_embed_text", embed, size, tokens="n_tokens")
     return chunks.join(normalized(embedded), [*group, "chunk_idx"])
 
 
