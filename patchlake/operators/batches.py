@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed, partitioned
+from patchlake.functions.frames import computed, exploded, partitioned
 
 BLOCK = 16384
 FAN = 512
@@ -39,12 +39,16 @@ def _next_starts(tokens: np.ndarray, own: int, max_tokens: int, max_items: int)
     return np.minimum(np.maximum(too_many_tokens, rows + 1), np.minimum(rows + max_items, len(tokens)))
 
 
-def _block_rows(df: DataFrame, group: list[str], pos: str, tokens: str, block: int, max_items: int) -> DataFrame:
-    """Rows by block; the first rows of a block are also given to the one before, which has to look ahead."""
+def _own_rows(df: DataFrame, group: list[str], pos: str, tokens: str, block: int) -> DataFrame:
     narrow = df.select(*group, F.col(pos).cast("long").alias("_pos"), F.col(tokens).cast("long").alias("_tokens"))
-    home = F.floor(F.col("_pos") / block)
+    return narrow.withColumn("_block", F.floor(F.col("_pos") / block))
+
+
+def _seen_rows(own: DataFrame, block: int, max_items: int) -> DataFrame:
+    """Rows by block; the first rows of a block are also given to the one before, which has to look ahead."""
+    home = F.col("_block")
     seen_by = F.when((F.col("_pos") % block < max_items) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    return narrow.withColumn("_block", F.explode(seen_by))
+    return own.withColumn("_block", F.explode(seen_by))
 
 
 def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
@@ -69,7 +73,6 @@ def token_batches(
     The rows are read several times, so they should come from a table.
     """
     block = max(block, max_items)
-    rows = _block_rows(df, group, pos, tokens, block, max_items)
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_pos")
@@ -92,34 +95,41 @@ def token_batches(
     table_type = T.StructType(
         [*_fields(df, group), _long("_block"), T.StructField("exits", long_array), T.StructField("counts", long_array)]
     )
-    def number_rows(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_pos")
-        number = int(part["_block"].iloc[0])
-        own = int((part["_pos"] < (number + 1) * block).sum())
-        nexts = _next_starts(part["_tokens"].to_numpy(), own, max_tokens, max_items).tolist()
-        starts = np.zeros(own, dtype=np.int64)
-        at = int(part["_entry"].iloc[0])
-        while at < own:
-            starts[at] = 1
-            at = nexts[at]
-        out = part.iloc[:own]
-        return out[group].assign(_pos=out["_pos"], batch=int(part["_base"].iloc[0]) - 1 + np.cumsum(starts))
-
-    numbered_type = T.StructType([*_fields(df, group), _long("_pos"), _long("batch")])
-
-    def numbered(placed: DataFrame) -> DataFrame:
-        return partitioned(placed, *group, "_block").groupBy(*group, "_block").applyInPandas(number_rows, numbered_type)
-
     start = {"_entry": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")}
-    first = numbered(rows.where(F.col("_block") == 0).withColumns(start))
+    own = _own_rows(df, group, pos, tokens, block)
+    first = _numbered(own.where(F.col("_block") == 0).withColumns(start), group, max_tokens, max_items, block)
+    rows = _seen_rows(own, block, max_items)
     large = rows.where(F.col("_block") == 1).select(*group).distinct()
-    of_large = rows.join(large, group, "left_semi")
-    tables = partitioned(of_large, *group, "_block").groupBy(*group, "_block").applyInPandas(chain, table_type)
+    of_large = partitioned(rows.join(large, group, "left_semi"), *group, "_block")
+    tables = of_large.groupBy(*group, "_block").applyInPandas(chain, table_type)
     entries = _entries(tables, group, max_items).where(F.col("_block") > 0)
-    later = numbered(rows.where(F.col("_block") > 0).join(entries, [*group, "_block"]))
+    placed = own.where(F.col("_block") > 0).join(entries, [*group, "_block"])
+    later = _numbered(placed, group, max_tokens, max_items, block)
     return first.unionByName(later).withColumnRenamed("_pos", pos)
 
 
+def _numbered(placed: DataFrame, group: list[str], max_tokens: int, max_items: int, block: int) -> DataFrame:
+    """Batch of every row, given the first start in its block and the number of batches before that.
+
+    A block's counts become one array; it is walked once, and the starts give ranges of rows.
+    """
+    keys = [*group, "_block", "_entry", "_base"]
+    rows = F.array_sort(F.collect_list(F.struct("_pos", "_tokens")))
+    blocks = placed.groupBy(*keys).agg(F.transform(rows, lambda row: row["_tokens"]).alias("counts"))
+    blocks = blocks.withColumns({"_from": F.col("_block") * block, "_last": F.col("_block") * block + F.size("counts") - 1})
+    blocks = computed(blocks, starts=F.expr(f"""aggregate(slice(counts, cast(_entry as int) + 1, size(counts)),
+        named_struct('starts', cast(array() as array<bigint>), 'at', _from + _entry, 'items', 0L, 'n', 0L),
+        (acc, t) -> if(acc.items = 0 or acc.n + t > {max_tokens} or acc.items >= {max_items},
+            named_struct('starts', array_append(acc.starts, acc.at), 'at', acc.at + 1, 'items', 1L, 'n', t),
+            named_struct('starts', acc.starts, 'at', acc.at + 1, 'items', acc.items + 1, 'n', acc.n + t)),
+        acc -> acc.starts)"""))
+    # Rows ahead of the first start still belong to the batch before it.
+    blocks = computed(blocks, starts=F.expr("if(_entry > 0, concat(array(_from), starts), starts)"))
+    spans = F.expr("""transform(starts, (s, j) -> named_struct(
+        'rows', sequence(s, coalesce(get(starts, j + 1) - 1, _last)), 'batch', _base - if(_entry > 0, 1, 0) + j))""")
+    return exploded(exploded(blocks, group, spans), [*group, "batch"], F.col("rows"), "_pos").select(*group, "_pos", "batch")
+
+
 _WALK = """aggregate(kids,
     named_struct('at', _entry, 'n', _base,
                  'seen', cast(array() as array<struct<_block:bigint,_entry:bigint,_base:bigint>>)),

@@ -1,11 +1,11 @@
 """Exact nearest chunks by inner product.
 
-Both sides are cut into blocks and every pair of blocks is one task: a matrix product in which only
-the best rows of each query leave the task. Pairs are never emitted, and no task holds more than one
-block of each side, so one very large index is spread like many small ones.
+Both sides are cut into blocks. The rows of a pair of blocks are brought together and give one matrix
+product, of which only the best rows of each query are kept. Pairs are never emitted, and no task holds
+more than one block of each side at a time, so one very large index is spread like many small ones.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,26 +73,45 @@ def nearest(
     asked = queries.select(*keys, "_qb", "query_idx", own_file.alias("own_file"), "embedding").join(cells, [*keys, "_qb"])
     offered = chunks.select(*keys, "_cb", "chunk_idx", "file_path", "embedding").join(cells, [*keys, "_cb"])
 
-    # Both sides come from the same cells; new column ids keep them apart in the co-group.
-    asked, offered = (partitioned(side.toDF(*side.columns), *keys, "_qb", "_cb") for side in (asked, offered))
-
-    def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        offered = offered.sort_values("chunk_idx")
-        if asked.empty or offered.empty:
-            return pd.DataFrame({name: [] for name in names})
-        left = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        right = np.stack(offered["embedding"].to_numpy()).astype(np.float64)
-        scores = (left @ right.T).astype(np.float32)
-        rows, columns = _best(scores, fetched)
-        out = asked[[*keys, "query_idx"]].iloc[rows].reset_index(drop=True)
-        own = asked["own_file"].to_numpy()[rows] == offered["file_path"].to_numpy()[columns]
-        return out.assign(chunk_idx=offered["chunk_idx"].to_numpy()[columns], own=own, score=scores[rows, columns])
-
-    fields = [*[queries.schema[name] for name in keys], queries.schema["query_idx"], chunks.schema["chunk_idx"]]
-    fields += [T.StructField("own", T.BooleanType()), T.StructField("score", T.FloatType())]
-    names = [field.name for field in fields]
     cell = [*keys, "_qb", "_cb"]
-    found = asked.groupBy(*cell).cogroup(offered.groupBy(*cell)).applyInPandas(search, T.StructType(fields))
+    left = asked.select(*cell, F.lit(0).alias("side"), F.col("query_idx").alias("idx"), F.col("own_file").alias("file"), "embedding")
+    right = offered.select(*cell, F.lit(1).alias("side"), F.col("chunk_idx").alias("idx"), F.col("file_path").alias("file"), "embedding")
+    both = partitioned(left.unionByName(right), *cell).sortWithinPartitions(*cell, "side", "idx")
+    fields = [*[left.schema[name] for name in keys], T.StructField("query_idx", both.schema["idx"].dataType)]
+    fields += [T.StructField("chunk_idx", both.schema["idx"].dataType), T.StructField("own", T.BooleanType())]
+    fields += [T.StructField("score", T.FloatType())]
+
+    def search(part: pd.DataFrame) -> pd.DataFrame | None:
+        """Best chunks of the queries of one pair of blocks."""
+        n_asked = int((part["side"] == 0).sum())
+        if n_asked in (0, len(part)):
+            return None
+        matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+        scores = (matrix[:n_asked] @ matrix[n_asked:].T).astype(np.float32)
+        rows, columns = _best(scores, fetched)
+        idx, file = part["idx"].to_numpy(), part["file"].to_numpy()
+        out = part[keys].iloc[rows].reset_index(drop=True)
+        return out.assign(
+            query_idx=idx[rows], chunk_idx=idx[n_asked + columns], own=file[rows] == file[n_asked + columns],
+            score=scores[rows, columns],
+        )
+
+    def search_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of a pair of blocks follow each other; the last pair of a batch may go on in the next."""
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = np.flatnonzero((batch[cell] != batch[cell].shift()).any(axis=1).to_numpy())
+            found = [search(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            found = [one for one in found if one is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+            held = batch.iloc[starts[-1]:]
+        last = None if held is None else search(held)
+        if last is not None:
+            yield last
+
+    found = both.mapInPandas(search_all, T.StructType(fields))
 
     order = Window.partitionBy(*keys, "query_idx").orderBy(F.desc("score"), "chunk_idx")
     best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetched)
