@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed, exploded, partitioned
+from patchlake.functions.frames import computed, exploded, map_groups
 
 BLOCK = 16384
 FAN = 512
@@ -75,7 +75,6 @@ def token_batches(
     block = max(block, max_items)
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_pos")
         number = int(part["_block"].iloc[0])
         own = int((part["_pos"] < (number + 1) * block).sum())
         nexts = _next_starts(part["_tokens"].to_numpy(), own, max_tokens, max_items).tolist()
@@ -100,8 +99,7 @@ def token_batches(
     first = _numbered(own.where(F.col("_block") == 0).withColumns(start), group, max_tokens, max_items, block)
     rows = _seen_rows(own, block, max_items)
     large = rows.where(F.col("_block") == 1).select(*group).distinct()
-    of_large = partitioned(rows.join(large, group, "left_semi"), *group, "_block")
-    tables = of_large.groupBy(*group, "_block").applyInPandas(chain, table_type)
+    tables = map_groups(rows.join(large, group, "left_semi"), [*group, "_block"], ["_pos"], chain, table_type)
     entries = _entries(tables, group, max_items).where(F.col("_block") > 0)
     placed = own.where(F.col("_block") > 0).join(entries, [*group, "_block"])
     later = _numbered(placed, group, max_tokens, max_items, block)
@@ -185,7 +183,6 @@ def embed_texts(
     ready = cut.select(*group, pos, "_text").join(numbered, [*group, pos])
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(pos)
         begin = time.monotonic()
         try:
             vectors = [list(map(float, vector)) for vector in embed(part["_text"].tolist())]
@@ -200,7 +197,7 @@ def embed_texts(
         *_fields(df, [*group, pos]), _long("batch"), T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("embed_ok", T.BooleanType()), T.StructField("embed_seconds", T.DoubleType()),
     ])
-    return partitioned(ready, *group, "batch").groupBy(*group, "batch").applyInPandas(call, out_type)
+    return map_groups(ready, [*group, "batch"], [pos], call, out_type)
 
 
 def embed_queries(df: DataFrame, source: str, embed: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:

@@ -5,7 +5,7 @@ product, of which only the best rows of each query are kept. Pairs are never emi
 more than one block of each side at a time, so one very large index is spread like many small ones.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import vectors
-from patchlake.functions.frames import computed, exploded, partitioned
+from patchlake.functions.frames import computed, exploded, map_groups
 from patchlake.operators.batches import embed_queries
 
 CHUNK_BLOCK = 4096
@@ -76,9 +76,9 @@ def nearest(
     cell = [*keys, "_qb", "_cb"]
     left = asked.select(*cell, F.lit(0).alias("side"), F.col("query_idx").alias("idx"), F.col("own_file").alias("file"), "embedding")
     right = offered.select(*cell, F.lit(1).alias("side"), F.col("chunk_idx").alias("idx"), F.col("file_path").alias("file"), "embedding")
-    both = partitioned(left.unionByName(right), *cell).sortWithinPartitions(*cell, "side", "idx")
-    fields = [*[left.schema[name] for name in keys], T.StructField("query_idx", both.schema["idx"].dataType)]
-    fields += [T.StructField("chunk_idx", both.schema["idx"].dataType), T.StructField("own", T.BooleanType())]
+    index_type = left.unionByName(right).schema["idx"].dataType
+    fields = [*[left.schema[name] for name in keys], T.StructField("query_idx", index_type)]
+    fields += [T.StructField("chunk_idx", index_type), T.StructField("own", T.BooleanType())]
     fields += [T.StructField("score", T.FloatType())]
 
     def search(part: pd.DataFrame) -> pd.DataFrame | None:
@@ -96,22 +96,7 @@ def nearest(
             score=scores[rows, columns],
         )
 
-    def search_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows of a pair of blocks follow each other; the last pair of a batch may go on in the next."""
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            starts = np.flatnonzero((batch[cell] != batch[cell].shift()).any(axis=1).to_numpy())
-            found = [search(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-            found = [one for one in found if one is not None]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-            held = batch.iloc[starts[-1]:]
-        last = None if held is None else search(held)
-        if last is not None:
-            yield last
-
-    found = both.mapInPandas(search_all, T.StructType(fields))
+    found = map_groups(left.unionByName(right), cell, ["side", "idx"], search, T.StructType(fields))
 
     order = Window.partitionBy(*keys, "query_idx").orderBy(F.desc("score"), "chunk_idx")
     best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetched)
