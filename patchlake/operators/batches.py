@@ -15,6 +15,7 @@ more than one block of rows or FAN tables, but for one short list of chained tab
 table for BLOCK * FAN = 8 million rows.
 """
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -175,8 +176,6 @@ def embed_texts(
     each cut text, the texts themselves are read once, for the calls. Save the result before it is used more
     than once, or the model is called again.
     """
-    import time
-
     cut = df.withColumn("_text", text.truncate(F.col(source)))
     counted = df if tokens else cut.withColumn("_n", text.tokens(F.col("_text")))
     numbered = token_batches(counted, group, pos, tokens or "_n", max_tokens, max_items)

@@ -58,7 +58,7 @@ def classify(imports: DataFrame, modules: DataFrame, repo: list[str], salts: int
     `modules` has one row per (repo, module). Common imports such as "os" fill a large part of any
     table, so both lookups are spread over salts.
     """
-    spread_by = [name for name in imports.columns]
+    spread_by = imports.columns
     full = modules.select(*repo, F.col("module").alias("raw_import"), F.lit(True).alias("_full"))
     top = modules.select(*repo, F.col("module").alias("module_name"), F.lit(True).alias("_top"))
     found = lookup(imports, full, [*repo, "raw_import"], spread_by, salts)
