@@ -80,6 +80,12 @@ def request_security_events(spark, sf):
 
 # Metric points
 
+def _stable(made: DataFrame) -> DataFrame:
+    """Doubles to twelve significant digits, as sums of doubles differ in the last ones with the order of rows."""
+    rounded = {c: F.when(F.col(c).isNotNull(), F.format_string("%.11e", c).cast("double")) for c, kind in made.dtypes if kind == "double"}
+    return made.withColumns(rounded)
+
+
 def _flat(made: DataFrame) -> DataFrame:
     return made.withColumn("tags", F.array_join("tags", "|"))
 
@@ -100,14 +106,12 @@ def points_error(spark, sf):
 
 
 def points_indexing(spark, sf):
-    runs = _chunk_table(spark, sf).groupBy(*PR).agg(
-        F.countDistinct("file_path").alias("files_indexed"), F.count("*").alias("chunks_created")
-    )
+    runs = indexing.index_runs(corpora.pr_files(spark, sf), _chunk_table(spark, sf))
     return _flat(points.indexing_points(runs.withColumn("duration", F.col("chunks_created") * 0.25)))
 
 
 def points_retrieval(spark, sf):
-    found = _retrieved(spark, sf).withColumns(context.retrieval_stats())
+    found = _retrieved(spark, sf).where("has_index").withColumns(context.retrieval_stats())
     found = found.withColumns({"duration": F.lit(0.25), "max_similarity": F.round("max_similarity", 4)})
     return _flat(points.retrieval_points(found))
 
@@ -135,12 +139,12 @@ def metric_rows_with_tag(spark, sf):
 
 def rollup_by_type(spark, sf):
     rows = corpora.rows(spark, sf).withColumn("repo", tags.value_of(F.col("tags"), "repo"))
-    return rollups.by_type(rows, ["repo"], "1 day")
+    return _stable(rollups.by_type(rows, ["repo"], "1 day"))
 
 
 def _widget(name):
     def query(spark, sf):
-        return dashboard.WIDGETS[name](corpora.rows(spark, sf))
+        return _stable(dashboard.WIDGETS[name](corpora.rows(spark, sf)))
 
     return query
 
@@ -211,7 +215,8 @@ def chunks_fixed(spark, sf):
 
 
 def _chunk_table(spark, sf):
-    return indexing.chunk_table(corpora.code_files(spark, sf).drop("language"), PR, scratch(spark))
+    files = corpora.pr_files(spark, sf).withColumn("file_path", F.col("filename"))
+    return indexing.chunk_table(indexing.fetched_files(files), PR, scratch(spark))
 
 
 def chunk_numbers(spark, sf):
@@ -352,7 +357,7 @@ def _reviewed(spark, sf):
 
 
 def pr_rollup(spark, sf):
-    return reviews.pr_rollup(corpora.pr_files(spark, sf), _reviewed(spark, sf))
+    return _stable(reviews.pr_rollup(corpora.pr_files(spark, sf), _reviewed(spark, sf)))
 
 
 def review_headlines(spark, sf):
@@ -399,7 +404,53 @@ def pr_review_points(spark, sf):
     prompted = review.prompts(changed, index, corpora.letter_counts, SYSTEM, folder)
     answered = review.answered_files(prompted, _count_words, folder)
     durations = changed.groupBy(*PR).agg(F.count("*").cast("double").alias("duration"))
-    return _flat(review.review_points(changed, answered, durations, MODEL))
+    return _stable(_flat(review.review_points(changed, answered, durations, MODEL)))
+
+
+def _three_lines(prompt: str) -> tuple[str, int, int, int]:
+    """A stand-in like the one above, whose answer has comments on three lines."""
+    _, lines, completion, total = _count_words(prompt)
+    return "\n".join(f"{n} : lines" for n in (1 + lines % 7, 20 + lines % 30, lines)), lines, completion, total
+
+
+def _run(spark, sf):
+    """One whole run. The contents of every tenth pull request can't be read."""
+    changed = corpora.pr_files(spark, sf)
+    seconds = F.count("*").cast("double")
+    durations = changed.groupBy(*PR).agg(
+        seconds.alias("duration"), (seconds * 0.25).alias("indexing_duration"), F.lit(0.25).alias("retrieval_duration")
+    )
+    failed = changed.where("pr % 10 = 9").select(*PR, F.lit("UnicodeDecodeError").alias("error_type")).distinct()
+    return review.review_pull_requests(
+        changed, durations, failed, corpora.letter_counts, _three_lines, SYSTEM, MODEL, scratch(spark), LETTERS
+    )
+
+
+def pr_review_all_points(spark, sf):
+    """All points of a run but the measured seconds of embedding calls."""
+    made = _run(spark, sf).points.where("metric <> 'rag.embedding.api_duration_seconds'")
+    rounded = F.when(F.col("metric") == "rag.retrieval.max_similarity", F.round("value", 4)).otherwise(F.col("value"))
+    return _stable(_flat(made.withColumn("value", rounded)))
+
+
+def pr_review_comments(spark, sf):
+    return _run(spark, sf).comments
+
+
+def pr_review_bodies(spark, sf):
+    return _run(spark, sf).headlines
+
+
+def request_points(spark, sf):
+    """Points of requests that were sent in by hand; their records are request_records."""
+    return _stable(_flat(review.review_requests(corpora.requests(spark, sf), MODEL)[1]))
+
+
+def repository_index(spark, sf):
+    """The index of whole repositories, with files in the order of doc_id."""
+    files = corpora.code_files(spark, sf).withColumn("file_ord", F.col("doc_id"))
+    index = indexing.index_repositories(files, corpora.letter_counts, scratch(spark), LETTERS)
+    return index.select("repo", "file_path", "chunk_ord", "chunk_idx", "embed_ok")
 
 
 # Deliveries
@@ -426,16 +477,23 @@ def signatures(spark, sf):
 
 
 def landed_file_lists(spark, sf):
-    """File lists of pull requests as JSON; the files of a request are few, and each is short here."""
-    one = F.to_json(F.array(F.struct("filename", F.col("doc_id").alias("changes"))))
-    bodies = corpora.patches(spark, sf).select("repo", "pr", "doc_id", one.alias("body"))
-    return landed.changed_files(bodies, [*PR, "doc_id"])
+    """File lists of pull requests as JSON; the files of a request are five. Every third one has no patch."""
+    listed = F.array_sort(F.collect_list(F.struct("file_ord", "doc_id", "filename", "patch")))
+    one = F.transform(listed, lambda f: F.struct(
+        f["filename"].alias("filename"), F.when(f["doc_id"] % 3 != 0, f["patch"]).alias("patch"), f["doc_id"].alias("changes")
+    ))
+    bodies = corpora.patches(spark, sf).groupBy(*PR).agg(F.to_json(one).alias("body"))
+    return landed.changed_files(bodies, PR)
 
 
 def landed_contents(spark, sf):
+    """Some are missing, some are no UTF-8, some no base64."""
+    bad = {1: "Y2Fm6Q==", 2: "Y2Fm6"}
     encoded = corpora.code_files(spark, sf).select(
         "doc_id", F.col("file_path").alias("filename"),
-        F.when(F.col("doc_id") % 10 == 0, F.lit('{"message":"Not Found"}')).otherwise(
+        F.when(F.col("doc_id") % 10 == 0, F.lit('{"message":"Not Found"}'))
+        .when(F.col("doc_id") % 10 == 1, F.lit(f'{{"content":"{bad[1]}"}}'))
+        .when(F.col("doc_id") % 10 == 2, F.lit(f'{{"content":"{bad[2]}"}}')).otherwise(
             F.to_json(F.struct(F.base64(F.encode("content", "UTF-8")).alias("content")))
         ).alias("body"),
     )
@@ -445,9 +503,12 @@ def landed_contents(spark, sf):
 # Streams
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the cluster names; a local one only where none is named."""
+    """A new folder under the shared one that the cluster names. In local mode, where the driver is also the
+    only executor, a temporary folder does where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/run-{os.urandom(8).hex()}"
 
@@ -462,7 +523,7 @@ def stream_rollup(spark, sf):
     rows = points.metric_rows(corpora.points_of(_event_stream(spark, sf)), at=F.col("ts"))
     rolled = rollup_stream.windowed(rows, "1 day", "2 days", by="repo")
     rollup_stream.write_final(rolled, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.schema(rolled.schema).parquet(f"{path}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return _stable(spark.read.schema(rolled.schema).parquet(f"{path}/out")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 def stream_deliveries(spark, sf):
@@ -485,6 +546,7 @@ QUERIES = {
         query_texts, context_texts, retrieval_stats, chunks_by_name, diff_lines, answer_lines, comments_on_diff,
         comments_without_diff, eligible_files, files_with_contents, review_costs, pr_rollup, review_headlines,
         fallback_bodies, file_prompts, request_prompts, request_records, generated_answers, pr_review_points,
+        pr_review_all_points, pr_review_comments, pr_review_bodies, request_points, repository_index,
         deliveries_routed, deliveries_routed_unsigned, deliveries_projected, signatures, landed_file_lists,
         landed_contents, stream_rollup, stream_deliveries,
     )

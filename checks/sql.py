@@ -98,7 +98,8 @@ CTE = {
             from spans where doc_id in (select doc_id from sized where n_lines > 30))""",
     "indexed": f"""select *, row_number() over (partition by repo, pr order by file_ord, chunk_ord) - 1 chunk_idx from (
         select c.*, f.repo, f.pr, f.file_ord, f.file_path, f."language" from chunks c join code_files f using (doc_id)
-        where not list_has_any(string_split(f.file_path, '/'), {_list(fixed.SKIPPED_DIRS)}) and f.ext in {_in(fixed.INDEXED_EXTENSIONS)})""",
+        where not list_has_any(string_split(f.file_path, '/'), {_list(fixed.SKIPPED_DIRS)}) and f.ext in {_in(fixed.INDEXED_EXTENSIONS)}
+            and f.ext in {_in(fixed.REVIEWED_EXTENSIONS)} and f.content <> '')""",
     "chunk_texts": """select *, 'File: ' || file_path || chr(10) || case when "name" <> '' then chunk_type || ': ' || "name" || chr(10) else '' end
         || content embedding_text from indexed""",
 }
@@ -200,7 +201,7 @@ CTE["stand_in"] = """select f.repo, f.pr, files_changed, total_changes, files_ch
         coalesce(spent, 0) "cost", coalesce(context_utilization, 0) context_utilization
     from (select repo, pr, count(*) files_changed, sum(changes)::bigint total_changes from pr_files group by all) f
     left join (select repo, pr, sum(n)::bigint prompt_tokens, sum(n + 1)::bigint total_tokens,
-        sum((n / 1000 * 0.00125::double + 1 / 1000 * 0.005::double)::decimal(28,8))::double spent, max(n / 128000 * 100) context_utilization
+        sum((n / 1000 * 0.00125::double + 1 / 1000 * 0.005::double)::double) spent, max(n / 128000 * 100) context_utilization
         from prompted where n >= 40 group by all) u on u.repo = f.repo and u.pr = f.pr"""
 CTE["coded"] = 'select l.doc_id, l.i, l.line, f."language" from code_lines l join code_files f using (doc_id)'
 # Later tables may be used by earlier ones here: "stand_in" goes last, "coded" before its user.
@@ -249,8 +250,8 @@ _REVIEW_VALUES = [
     ("pr.files_changed", "files_changed", "gauge"), ("pr.total_changes", "total_changes", "gauge"), ("llm.reviews.total", "1", "count"),
     ("llm.cost.per_line", 'case when total_changes > 0 then "cost" / total_changes end', "gauge"),
 ]
-_SUM = "sum(case when {} then value::decimal(28,8) end)::double"
-_AVG = "(sum(case when {0} then value::decimal(28,8) end)::double / nullif(count(case when {0} then value end), 0))"
+_SUM = "sum(case when {} then value end)"
+_AVG = "avg(case when {0} then value end)"
 _PAIRS = """(select string_agg(case when contains(t, ':') then regexp_replace(t, ':', '=') else t || '=' end, '|' order by n)
     from (select unnest(tags) t, generate_subscripts(tags, 1) n))"""
 _ROWS = f"""select point_id, ts "timestamp", metric metric_name, value, "type" metric_type, {_PAIRS} tags"""
@@ -283,7 +284,7 @@ _RATE = "({0}) / nullif(" + _number("sum", _REV) + ", 0) * 100"
 WIDGETS = {
     "total_reviews": _scalar(f"round({_number('sum', _REV)}, 0)", _REV),
     "avg_cost": _scalar(f"round({_number('avg', 'llm.cost.per_review')}, 4)", "llm.cost.per_review"),
-    "success_rate": _scalar(_RATE.format(_number("sum", _REV) + " - " + _number("sum", _ERR)), _REV, _ERR),
+    "success_rate": _scalar("round(" + _RATE.format(_number("sum", _REV) + " - " + _number("sum", _ERR)) + ", 1)", _REV, _ERR),
     "error_count": _scalar(f"round({_number('sum', _ERR)}, 0)", _ERR),
     "generation_time": _avg_series("llm.duration.seconds"),
     "retrieval_latency_ms": _avg_series("rag.retrieval.duration_seconds", " * 1000"),
@@ -291,7 +292,7 @@ WIDGETS = {
     "avg_retrieval_ms": _scalar(f"round({_number('avg', 'rag.retrieval.duration_seconds')} * 1000, 0)", "rag.retrieval.duration_seconds"),
     "cost_by_repo": _series(["llm.cost.per_review"], "repo", value=_number("avg", "llm.cost.per_review")),
     "cumulative_cost_by_repo": """select bucket, repo, sum(s) over (partition by repo order by bucket)::double as value from (
-        select time_bucket(interval '1 day', ts) bucket, repo, sum(value::decimal(28,8)) s from points where metric = 'llm.cost.per_review' group by 1, 2)""",
+        select time_bucket(interval '1 day', ts) bucket, repo, sum(value) s from points where metric = 'llm.cost.per_review' group by 1, 2)""",
     "prompt_and_completion": _series(
         ["llm.tokens.prompt", "llm.tokens.completion"], prompt=_number("avg", "llm.tokens.prompt"), completion=_number("avg", "llm.tokens.completion")),
     "context_utilization": _avg_series("llm.context.utilization_pct"),
@@ -324,7 +325,7 @@ _ROLLUP = f"""select r.*, completion from (select f.repo, f.pr, files_changed, t
         coalesce(context_utilization, 0) context_utilization
     from (select repo, pr, count(*) files_changed, sum(changes)::bigint total_changes from pr_files group by all) f
     left join (select repo, pr, count(*) files_reviewed, sum(total_tokens)::bigint total_tokens, sum(prompt_tokens)::bigint prompt_tokens,
-        sum(({_COST})::decimal(28,8))::double spent, max(prompt_tokens / 128000 * 100) context_utilization from reviewed group by all) u
+        sum(({_COST})::double) spent, max(prompt_tokens / 128000 * 100) context_utilization from reviewed group by all) u
         on u.repo = f.repo and u.pr = f.pr) r"""
 _VECTOR_PAIRS = f"""with unit as (select vec_id, label, {_UNIT.format('embedding::double[]')}::double[] v from embeddings),
     pairs as (select a.vec_id query_idx, b.vec_id chunk_idx, a.label own, b.label, list_dot_product(a.v, b.v)::float score from unit a, unit b)"""
@@ -349,11 +350,12 @@ _BODIES = {
     "points_error": f"""select event_id, 'llm.errors' metric, 1::double "value", 'count' "type", 'error_type:E' || (user_id % 5) || '|' || {_TAGS.format('', '|source:_experiment')} tags
         from (select *, 'org/r' || (user_id % 7) repo, user_id pr from events where event_type = 'error')""",
     "points_indexing": _points(
-        "(select repo, pr, count(distinct file_path) files, count(*) n from indexed group by all)",
+        f"""(select repo, pr, n, (select count(*) from code_files f where f.repo = i.repo and f.pr = i.pr and f.content <> '' and f.ext in {_in(fixed.REVIEWED_EXTENSIONS)}) files
+            from (select repo, pr, count(*) n from indexed group by all) i)""",
         [("rag.indexing.files", "files", "gauge"), ("rag.indexing.chunks", "n", "gauge"), ("rag.indexing.duration_seconds", "n * 0.25", "histogram"),
          ("rag.embedding.duration_seconds", "(n * 0.25)::double * 0.8::double", "histogram"), ("rag.indexing.total", "1", "count")], _TAGS.format("", "")),
     "points_retrieval": _points(
-        "stats",
+        "(select s.* from stats s where exists (select 1 from indexed i where i.repo = s.repo and i.pr = s.pr))",
         [("rag.retrieval.chunks", "chunks_retrieved", "gauge"), ("rag.retrieval.duration_seconds", "0.25", "histogram"),
          ("rag.retrieval.context_tokens", "context_tokens", "gauge"), ("rag.retrieval.total", "1", "count"),
          ("rag.retrieval.max_similarity", "round(max_similarity, 4)", "gauge")], _TAGS.format("", "")),
@@ -365,8 +367,8 @@ _BODIES = {
     "metric_rows_selected": f"{_ROWS} from points where repo = 'org/r3' and production",
     "metric_rows_with_tag": f"{_ROWS} from points where not success",
     "rollup_by_type": """select metric metric_name, "type" metric_type, repo, time_bucket(interval '1 day', ts) bucket,
-        case when "type" = 'count' then sum(value::decimal(28,8))::double when "type" = 'gauge' then max_by(value, (ts, point_id)) end as value,
-        case when "type" = 'histogram' then count(*) end n, case when "type" = 'histogram' then sum(value::decimal(28,8))::double / count(*) end "avg",
+        case when "type" = 'count' then sum(value) when "type" = 'gauge' then max_by(value, (ts, point_id)) end as value,
+        case when "type" = 'histogram' then count(*) end n, case when "type" = 'histogram' then sum(value) / count(*) end "avg",
         case when "type" = 'histogram' then max(value) end "max", case when "type" = 'histogram' then quantile_disc(value, 0.5) end p50,
         case when "type" = 'histogram' then quantile_disc(value, 0.95) end p95 from points group by 1, 2, 3, 4""",
     "file_filter": f"""select doc_id, filename, ext extension, skipped, not skipped and ext in {_in(fixed.INDEXED_EXTENSIONS)} indexed,
@@ -463,15 +465,56 @@ _BODIES = {
     "stream_deliveries": _OUTCOME.format("signed"),
     "deliveries_projected": """select event_id, action, event_id pr_number, 'org' "owner", 'r' || (user_id % 7) repo_name, 'org/r' || (user_id % 7) full_repo,
         event_type || event_id head_sha, 'f' || user_id head_ref, case when event_id % 7 = 0 then '' else 'main' end base_ref from routed where signed and valid and body <> ''""",
-    "landed_file_lists": "select repo, pr, doc_id, 0 file_ord, filename, null::varchar patch, doc_id changes from patches",
-    "landed_contents": "select doc_id, file_path filename, case when doc_id % 10 <> 0 then content end content from code_files",
-    "stream_rollup": """select time_bucket(interval '1 day', ts) bucket, metric metric_name, repo, count(*) n, sum(value::decimal(28,8))::double total from points
+    "landed_file_lists": """select repo, pr, (row_number() over (partition by repo, pr order by file_ord, doc_id) - 1)::int file_ord, filename,
+        case when doc_id % 3 <> 0 then patch end patch, doc_id changes from patches""",
+    "landed_contents": """select doc_id, file_path filename, case when doc_id % 10 > 2 then content end content,
+        case doc_id % 10 when 1 then 'UnicodeDecodeError' when 2 then 'binascii.Error' end error_type from code_files""",
+    "stream_rollup": """select time_bucket(interval '1 day', ts) bucket, metric metric_name, repo, count(*) n, sum(value) total from points
         where time_bucket(interval '1 day', ts) + interval '1 day' <= (select date_trunc('millisecond', max(ts)) - interval '2 days' from points) group by 1, 2, 3""",
 }
 _BODIES["generated_answers"] = f"""select doc_id, case when n >= 40 then n || ' : lines' end text, case when n >= 40 then n end prompt_tokens,
     case when n >= 40 then 1 end completion_tokens, case when n >= 40 then n + 1 end total_tokens, case when n < 40 then 'ValueError' end error_type
     from (select doc_id, len(string_split({_BARE_PROMPT}, chr(10))) - 1 n from eligible)"""
 _BODIES["pr_review_points"] = _points("stand_in", _REVIEW_VALUES, _TAGS.format("|model:" + MODEL, "|source:webhook"))
+
+
+def _stable(body: str, *columns: str) -> str:
+    """Twelve significant digits of these columns, as on the other side."""
+    return f"select * replace ({', '.join(f'printf({_quote("%.11e")}, "{c}"::double)::double as "{c}"' for c in columns)}) from ({body})"
+
+
+_BODIES["repository_index"] = f"""select f.repo, f.file_path, c.chunk_ord, row_number() over (partition by f.repo order by doc_id, c.chunk_ord) - 1 chunk_idx, true embed_ok
+    from chunks c join code_files f using (doc_id) where not list_has_any(string_split(f.file_path, '/'), {_list(fixed.SKIPPED_DIRS)})
+        and f.ext in {_in(fixed.INDEXED_EXTENSIONS)} and trim(f.content) <> ''"""
+_OK = "(select * from {} where pr % 10 <> 9)"
+_SOURCE = "|source:webhook"
+_RUN_VALUES = [
+    (_OK.format("stand_in"), _REVIEW_VALUES, _TAGS.format("|model:" + MODEL, _SOURCE)),
+    (f"(select repo, pr, n, files, (select count(*) from pr_files f where f.repo = i.repo and f.pr = i.pr) * 0.25::double secs from (select repo, pr, count(*) n, (select count(*) from code_files f where f.repo = x.repo and f.pr = x.pr and f.content <> '' and f.ext in {_in(fixed.REVIEWED_EXTENSIONS)}) files from indexed x where pr % 10 <> 9 group by repo, pr) i)",
+     [("rag.indexing.files", "files", "gauge"), ("rag.indexing.chunks", "n", "gauge"), ("rag.indexing.duration_seconds", "secs", "histogram"),
+      ("rag.embedding.duration_seconds", "secs * 0.8::double", "histogram"), ("rag.indexing.total", "1", "count")], _TAGS.format("", "")),
+    ("(select s.* from stats s where pr % 10 <> 9 and exists (select 1 from indexed i where i.repo = s.repo and i.pr = s.pr))",
+     [("rag.retrieval.chunks", "chunks_retrieved", "gauge"), ("rag.retrieval.duration_seconds", "0.25", "histogram"), ("rag.retrieval.context_tokens", "context_tokens", "gauge"),
+      ("rag.retrieval.total", "1", "count"), ("rag.retrieval.max_similarity", "round(max_similarity, 4)", "gauge")], _TAGS.format("", "")),
+    ("(select repo, pr, batch, count(*) n from walk where pr % 10 <> 9 group by all)",
+     [("rag.embedding.batch_size", "n", "gauge"), ("rag.embedding.api_calls", "1", "count")], "'service:code-review|env:production|success:true'"),
+    ("(select distinct repo, pr from pr_files where pr % 10 = 9)", [("llm.errors", "1", "count")], "'error_type:UnicodeDecodeError|' || " + _TAGS.format("", _SOURCE)),
+    (f"({_issues(_OK.format('eligible'), 'patch', 'repo, pr, filename')})", [("security.events", "1", "count")],
+     "'event_type:' || \"type\" || '|severity:' || severity || '|' || " + _TAGS.format("", _SOURCE)),
+]
+_BODIES["pr_review_all_points"] = _stable(" union all ".join(_points(source, values, tags, "repo, pr,") for source, values, tags in _RUN_VALUES), "value")
+_RUN_COMMENTS = """select p.repo, p.pr, p.file_ord, p.filename path, pos, p.line || ' : lines' body, p.line, 'RIGHT' side
+    from (select *, unnest([1 + n % 7, 20 + n % 30, n])::bigint line, unnest([0, 1, 2]) pos from prompted where n >= 40 and pr % 10 <> 9) p
+        semi join diff_lines d on d.doc_id = p.doc_id and d.line = p.line"""
+_BODIES["pr_review_comments"] = _RUN_COMMENTS
+_BODIES["pr_review_bodies"] = f"""select f.repo, f.pr, coalesce(n, 0) n_comments, case when coalesce(n, 0) = 0 then {_quote(fixed.APPROVED_BODY)}
+    else 'AI Code Review - ' || n || ' issue(s) found' end body from (select distinct repo, pr from pr_files where pr % 10 <> 9) f
+    left join (select repo, pr, count(*) n from ({_RUN_COMMENTS}) group by all) k on k.repo = f.repo and k.pr = f.pr"""
+_REQUESTS = f"(select *, pr_id pr, {_COST} \"cost\", prompt_tokens / 128000 * 100 context_utilization, lines_added + lines_deleted total_changes from requests)"
+_BODIES["request_points"] = _stable(
+    _points(_REQUESTS, _REVIEW_VALUES, _TAGS.format("|model:" + MODEL, "|source:_experiment"), "repo, pr,") + " union all "
+    + _points(f"({_issues('requests', 'diff', 'repo, pr_id pr')})", [("security.events", "1", "count")],
+              "'event_type:' || \"type\" || '|severity:' || severity || '|' || " + _TAGS.format("", "|source:_experiment"), "repo, pr,"), "value")
 _KEY = SECRET.encode().ljust(64, b"\0")
 
 
@@ -482,4 +525,11 @@ def _blob(data: bytes) -> str:
 _DIGEST = f"sha256({_blob(bytes(b ^ 0x5C for b in _KEY))} || unhex(sha256({_blob(bytes(b ^ 0x36 for b in _KEY))} || encode(body))))"
 _BODIES["signatures"] = f"select event_id, {_DIGEST} digest, event_id % 17 <> 0 ok from bodies"
 
-SQL = {name: _with(body) for name, body in _BODIES.items()} | {f"dash_{name}": _with(body) for name, body in WIDGETS.items()}
+
+
+for _name, _columns in {"rollup_by_type": ["value", "avg", "max", "p50", "p95"], "pr_rollup": ["cost", "context_utilization"], "pr_review_points": ["value"], "stream_rollup": ["total"]}.items():
+    _BODIES[_name] = _stable(_BODIES[_name], *_columns)
+_WIDGET_COLUMNS = {"prompt_and_completion": ["prompt", "completion"], "files_and_chunks": ["files", "chunks"], "embedding_calls": ["success", "failed"]}
+
+SQL = {name: _with(body) for name, body in _BODIES.items()}
+SQL |= {f"dash_{name}": _with(_stable(body, *_WIDGET_COLUMNS.get(name, ["value"]))) for name, body in WIDGETS.items()}

@@ -39,6 +39,26 @@ def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, where null meets null. The keys are those of the left side."""
+    named = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = [left[key].eqNullSafe(named[f"_right_{key}"]) for key in keys]
+    condition = same[0]
+    for one in same[1:]:
+        condition = condition & one
+    return left.join(named, condition, how).drop(*[f"_right_{key}" for key in keys])
+
+
+def cuts(batch: pd.DataFrame, keys: list[str], most: int | None = None) -> list[tuple[int, int]]:
+    """Where runs of equal keys begin and end, null being equal to null; runs longer than `most` rows are cut up."""
+    before = batch[keys].shift()
+    new = ((batch[keys] != before) & ~(batch[keys].isna() & before.isna())).any(axis=1).to_numpy()
+    new[:1] = True
+    starts = np.flatnonzero(new).tolist()
+    spans = zip(starts, [*starts[1:], len(batch)])
+    return [(at, min(at + (most or b), b)) for a, b in spans for at in range(a, b, most or b - a)]
+
+
 def map_groups(
     df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: StructType
 ) -> DataFrame:
@@ -52,12 +72,14 @@ def map_groups(
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            starts = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
-            done = [work(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            spans = cuts(batch, keys)
+            if not spans:
+                continue
+            done = [work(batch.iloc[a:b]) for a, b in spans[:-1]]
             done = [rows for rows in done if rows is not None]
             if done:
                 yield pd.concat(done, ignore_index=True)
-            held = batch.iloc[starts[-1]:]  # the last group may go on in the next batch
+            held = batch.iloc[spans[-1][0] :]  # the last group may go on in the next batch
         rows = None if held is None else work(held)
         if rows is not None:
             yield rows

@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 _SPLITTER = float(2**27 + 1)
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum that does not depend on the order of rows: eight decimals are kept, as prices per token need."""
-    return F.sum(value.cast("decimal(28,8)")).cast("double")
-
-
-def exact_avg(value: Column) -> Column:
-    return exact_sum(value) / F.count(value)
-
-
 def _halves(x: Column) -> tuple[Column, Column]:
     big = x * _SPLITTER
     high = big - (big - x)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed, exploded, map_groups
+from patchlake.functions.frames import computed, exploded, map_groups, null_safe_join
 
 BLOCK = 16384
 FAN = 512
@@ -100,9 +100,9 @@ def token_batches(
     first = _numbered(own.where(F.col("_block") == 0).withColumns(start), group, max_tokens, max_items, block)
     rows = _seen_rows(own, block, max_items)
     large = rows.where(F.col("_block") == 1).select(*group).distinct()
-    tables = map_groups(rows.join(large, group, "left_semi"), [*group, "_block"], ["_pos"], chain, table_type)
+    tables = map_groups(null_safe_join(rows, large, group, "left_semi"), [*group, "_block"], ["_pos"], chain, table_type)
     entries = _entries(tables, group, max_items).where(F.col("_block") > 0)
-    placed = own.where(F.col("_block") > 0).join(entries, [*group, "_block"])
+    placed = null_safe_join(own.where(F.col("_block") > 0), entries, [*group, "_block"])
     later = _numbered(placed, group, max_tokens, max_items, block)
     return first.unionByName(later).withColumnRenamed("_pos", pos)
 
@@ -155,7 +155,7 @@ def _entries(tables: DataFrame, group: list[str], max_items: int) -> DataFrame:
     )
     top = gathered(chained).withColumns({"_entry": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")})
     known = top.select(*group, F.inline_outer(F.expr(_WALK))).withColumnRenamed("_block", "_family")
-    return families.join(known, [*group, "_family"]).select(*group, F.inline_outer(F.expr(_WALK)))
+    return null_safe_join(families, known, [*group, "_family"]).select(*group, F.inline_outer(F.expr(_WALK)))
 
 
 def embed_texts(
@@ -179,7 +179,7 @@ def embed_texts(
     cut = df.withColumn("_text", text.truncate(F.col(source)))
     counted = df if tokens else cut.withColumn("_n", text.tokens(F.col("_text")))
     numbered = token_batches(counted, group, pos, tokens or "_n", max_tokens, max_items)
-    ready = cut.select(*group, pos, "_text").join(numbered, [*group, pos])
+    ready = null_safe_join(cut.select(*group, pos, "_text"), numbered, [*group, pos])
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
         begin = time.monotonic()

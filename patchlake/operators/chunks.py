@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed, exploded
+from patchlake.functions.frames import computed, exploded, null_safe_join
 from patchlake.operators.definitions import with_definitions
 from patchlake.operators.skew import with_running_start
 
@@ -127,7 +127,7 @@ def number_chunks(chunks: DataFrame, group: list[str], file_order: str = "file_o
     """
     counts = chunks.groupBy(*group, file_order).agg(F.count("*").alias("_chunks"))
     starts = with_running_start(counts, group, file_order, "_chunks", "_first").drop("_chunks")
-    numbered = chunks.join(starts, [*group, file_order])
+    numbered = null_safe_join(chunks, starts, [*group, file_order])
     return numbered.withColumn("chunk_idx", F.col("_first") + F.col("chunk_ord")).drop("_first")
 
 

@@ -7,7 +7,6 @@ from patchlake import fixed
 from patchlake.functions import text
 from patchlake.functions.frames import computed
 from patchlake.functions.numbers import round_half_even
-from patchlake.operators.skew import lookup
 
 MIN_SCORE = 0.5
 SIMILAR_SHOWN, SIMILAR_CHARS, SIMILAR_SHARE = 3, 400, 0.7
@@ -79,13 +78,14 @@ def gather(files: DataFrame, matches: DataFrame, chunks: DataFrame, group: list[
     """Add `similar` and `related` to files that have `query_idx` and `file_path`.
 
     `matches` is the result of a search by query_idx, so a file gets at most its k rows. Only the
-    start of a chunk is shown, so only that travels; a chunk that is near to many files is spread.
+    start of a chunk is shown, so only that travels.
     """
     shown = max(SIMILAR_CHARS, RELATED_CHARS) + 1
     short = chunks.select(
         *group, "chunk_idx", "chunk_ord", "file_path", "start_line", "name", F.substring("content", 1, shown).alias("content")
     )
-    found = lookup(matches, short, [*group, "chunk_idx"], ["query_idx"], salts=8)
+    # texts of matched chunks only; a chunk is matched by files of its own group, so no key is hot
+    found = matches.join(short, [*group, "chunk_idx"], "left")
     similar = found.groupBy(*group, "query_idx").agg(
         F.array_sort(F.collect_list(F.struct("rank", "score", "file_path", "start_line", "name", "content", "chunk_idx"))).alias("similar")
     )

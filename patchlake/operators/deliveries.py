@@ -14,7 +14,10 @@ _BLOCK = 64  # block size of SHA-256 in bytes
 
 
 def hmac_sha256(body: Column, secret: str) -> Column:
-    """HMAC-SHA256 in hex. The two padded keys are literals, so the rest is two native hashes per row."""
+    """HMAC-SHA256 in hex. The two padded keys are literals, so the rest is two native hashes per row.
+
+    Literals are shown by explain() and in event logs, and the secret can be worked out from them. Keep both private, or set
+    spark.redaction.string.regex to a pattern that covers them."""
     key = secret.encode("utf-8")
     if len(key) > _BLOCK:
         key = hashlib.sha256(key).digest()
@@ -37,7 +40,9 @@ def _json_type(value: Column, path: str) -> Column:
 
 
 def with_payload(deliveries: DataFrame) -> DataFrame:
-    """Add `payload` (the body as a variant, null when it is no JSON) and `payload_ok`."""
+    """Add `payload` (the body as a variant, null when it is no JSON) and `payload_ok`. Of a key that is there twice the last
+    value counts, which is a setting of the session."""
+    deliveries.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = deliveries.withColumn("payload", F.try_parse_json(F.col("body").cast("string")))
     payload = F.col("payload")
     number = F.try_variant_get(payload, "$.number", "double")

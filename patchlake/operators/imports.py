@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions.frames import exploded
-from patchlake.operators.skew import lookup
 
 
 def _suffixes(dotted: Column) -> Column:
@@ -52,25 +51,29 @@ def import_rows(files: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
-def classify(imports: DataFrame, modules: DataFrame, repo: list[str], salts: int = 16) -> DataFrame:
+def classify(imports: DataFrame, modules: DataFrame, repo: list[str]) -> DataFrame:
     """Add `import_type`: local, stdlib or third_party.
 
-    `modules` has one row per (repo, module). Common imports such as "os" fill a large part of any
-    table, so both lookups are spread over salts.
+    `modules` has one row per (repo, module). Most rows, and all common ones, are decided by their text. Of the others
+    each distinct (repo, raw_import) is looked up once; a name that many files import is one row there.
     """
-    spread_by = imports.columns
-    full = modules.select(*repo, F.col("module").alias("raw_import"), F.lit(True).alias("_full"))
-    top = modules.select(*repo, F.col("module").alias("module_name"), F.lit(True).alias("_top"))
-    found = lookup(imports, full, [*repo, "raw_import"], spread_by, salts)
-    found = lookup(found, top, [*repo, "module_name"], spread_by, salts)
-    import_type = (
+    by_text = (
         F.when(F.col("is_relative"), "local")
         .when(F.col("module_name").isin(fixed.STDLIB), "stdlib")
         .when(F.lower("module_name").isin(fixed.KNOWN_PACKAGES), "third_party")
-        .when(F.col("_full").isNotNull() | F.col("_top").isNotNull(), "local")
-        .otherwise("third_party")
     )
-    return found.withColumn("import_type", import_type).drop("_full", "_top")
+    marked = imports.withColumn("_by_text", by_text)
+    open_names = marked.where("_by_text is null").select(*repo, "raw_import", "module_name").distinct()
+    either = open_names.select(*repo, "raw_import", F.explode(F.array_distinct(F.array("raw_import", "module_name"))).alias("module"))
+    local = either.join(modules, [*repo, "module"], "left_semi").select(*repo, "raw_import").distinct()
+    # rows that the text decides go through the join under names that no module has, so that "os" is no hot key
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*imports.columns), F.lit(1024)).cast("string"))
+    name = F.when(F.col("_by_text").isNull(), F.col("raw_import")).otherwise(spread)
+    found = marked.withColumn("_name", name).join(
+        local.select(*repo, F.col("raw_import").alias("_name"), F.lit("local").alias("_found")), [*repo, "_name"], "left"
+    )
+    kind = F.coalesce("_by_text", "_found", F.lit("third_party"))
+    return found.select(*imports.columns, kind.alias("import_type"))
 
 
 def imports_by_type(imports: DataFrame, keys: list[str]) -> DataFrame:

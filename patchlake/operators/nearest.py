@@ -1,25 +1,26 @@
 """Exact nearest chunks by inner product.
 
-Both sides are cut into blocks. The rows of a pair of blocks are brought together and give one matrix
-product, of which only the best rows of each query are kept. Pairs are never emitted, and no task holds
-more than one block of each side at a time, so one very large index is spread like many small ones.
+A fixed grid of cells is laid over the queries and the chunks of a group: a query goes to one row of cells, a chunk to one
+column, so each is copied as often as the grid is wide, and no more. In a cell the queries are held as one matrix, the chunks
+stream by in blocks, and only the best of each query are kept. Pairs are never emitted.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import vectors
-from patchlake.functions.frames import computed, exploded, map_groups
+from patchlake.functions.frames import computed, cuts, exploded, partitioned
 from patchlake.operators.batches import embed_queries
 
 CHUNK_BLOCK = 4096
-QUERY_BLOCK = 512
+#: Rows and columns of the grid for one index over everything; indexes of groups are small, and many.
+GRID, GROUP_GRID = (8, 8), (1, 1)
 
 
 def normalized(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -38,6 +39,47 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[rank < k], columns[rank < k]
 
 
+class _Cell:
+    """The queries of one cell, and the best chunks seen so far for each."""
+
+    def __init__(self, key: tuple, k: int):
+        self.key, self.k = key, k
+        self.parts: list[pd.DataFrame] = []
+        self.found: list[tuple] = []
+
+    def add_queries(self, part: pd.DataFrame) -> None:
+        self.parts.append(part)
+
+    def add_chunks(self, part: pd.DataFrame) -> None:
+        if not self.parts:
+            return
+        if isinstance(self.parts, list):
+            queries = pd.concat(self.parts, ignore_index=True)
+            self.parts = queries.assign(embedding=None)
+            self.matrix = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+        scores = (self.matrix @ np.stack(part["embedding"].to_numpy()).astype(np.float64).T).astype(np.float32)
+        rows, columns = _best(scores, self.k)
+        self.found.append((rows, part["idx"].to_numpy()[columns], part["file"].to_numpy()[columns], scores[rows, columns]))
+        if len(self.found) == 8:
+            self._prune()
+
+    def _prune(self) -> None:
+        rows, idx, file, score = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((idx, -score, rows))
+        rows = rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]
+        self.found = [tuple(np.concatenate(x)[order] for x in zip(*self.found))]
+
+    def result(self, keys: list[str]) -> pd.DataFrame | None:
+        if not self.found:
+            return None
+        self._prune()
+        rows, idx, file, score = self.found[0]
+        own = self.parts["file"].to_numpy()[rows]
+        out = pd.DataFrame({key: [value] * len(rows) for key, value in zip(keys, self.key)})
+        return out.assign(query_idx=self.parts["idx"].to_numpy()[rows], chunk_idx=idx, own=[a is not None and a == b for a, b in zip(own, file)], score=score)
+
+
 def nearest(
     queries: DataFrame,
     chunks: DataFrame,
@@ -46,7 +88,7 @@ def nearest(
     exclude_own_file: bool = False,
     overfetch: int = fixed.OVERFETCH,
     chunk_block: int = CHUNK_BLOCK,
-    query_block: int = QUERY_BLOCK,
+    grid: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The k best chunks of every query within its group: group, query_idx, chunk_idx, score, rank.
 
@@ -55,50 +97,50 @@ def nearest(
     Vectors are normalized here. Scores are kept as floats and ties go to the lower chunk_idx.
 
     With `exclude_own_file`, overfetch * k chunks are fetched before the own file's are dropped, so a
-    file that owns most of the nearest chunks can leave a query with fewer than k.
+    file that owns most of the nearest chunks can leave a query with fewer than k. A task holds the queries of a cell, so
+    `grid` has as many rows as it takes for these to fit; null groups are groups like others.
     """
-    keys = group or ["_all"]
-    if not group:
-        queries, chunks = queries.withColumn("_all", F.lit(0)), chunks.withColumn("_all", F.lit(0))
+    across, down = grid or (GROUP_GRID if group else GRID)
     fetched = k * overfetch if exclude_own_file else k
-    queries = normalized(queries.where(F.size("embedding") > 0))
-    queries = queries.withColumn("_qb", F.floor(F.col("query_idx") / query_block))
-    chunks = normalized(chunks.where(F.size("embedding") > 0))
-    chunks = chunks.withColumn("_cb", F.floor(F.col("chunk_idx") / chunk_block))
     own_file = F.col("file_path") if exclude_own_file else F.lit(None).cast("string")
 
-    query_blocks = queries.select(*keys, "_qb").distinct()
-    chunk_blocks = chunks.select(*keys, "_cb").distinct()
-    cells = query_blocks.join(chunk_blocks, keys)
-    asked = queries.select(*keys, "_qb", "query_idx", own_file.alias("own_file"), "embedding").join(cells, [*keys, "_qb"])
-    offered = chunks.select(*keys, "_cb", "chunk_idx", "file_path", "embedding").join(cells, [*keys, "_cb"])
-
-    cell = [*keys, "_qb", "_cb"]
-    left = asked.select(*cell, F.lit(0).alias("side"), F.col("query_idx").alias("idx"), F.col("own_file").alias("file"), "embedding")
-    right = offered.select(*cell, F.lit(1).alias("side"), F.col("chunk_idx").alias("idx"), F.col("file_path").alias("file"), "embedding")
-    index_type = left.unionByName(right).schema["idx"].dataType
-    fields = [*[left.schema[name] for name in keys], T.StructField("query_idx", index_type)]
+    def copies(n: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    queries = normalized(queries.where(F.size("embedding") > 0))
+    left = queries.select(
+        *group, F.pmod(F.xxhash64("query_idx"), F.lit(across)).cast("int").alias("_row"), copies(down, "_column"),
+        F.lit(0).alias("side"), F.col("query_idx").alias("idx"), own_file.alias("file"), "embedding",
+    )
+    chunks = normalized(chunks.where(F.size("embedding") > 0))
+    right = chunks.select(
+        *group, copies(across, "_row"), F.pmod(F.xxhash64("chunk_idx"), F.lit(down)).cast("int").alias("_column"),
+        F.lit(1).alias("side"), F.col("chunk_idx").alias("idx"), F.col("file_path").alias("file"), "embedding",
+    )
+    both = left.unionByName(right)
+    index_type = both.schema["idx"].dataType
+    fields = [*[both.schema[name] for name in group], T.StructField("query_idx", index_type)]
     fields += [T.StructField("chunk_idx", index_type), T.StructField("own", T.BooleanType())]
     fields += [T.StructField("score", T.FloatType())]
-
-    def search(part: pd.DataFrame) -> pd.DataFrame | None:
-        """Best chunks of the queries of one pair of blocks."""
-        n_asked = int((part["side"] == 0).sum())
-        if n_asked in (0, len(part)):
-            return None
-        matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        scores = (matrix[:n_asked] @ matrix[n_asked:].T).astype(np.float32)
-        rows, columns = _best(scores, fetched)
-        idx, file = part["idx"].to_numpy(), part["file"].to_numpy()
-        out = part[keys].iloc[rows].reset_index(drop=True)
-        return out.assign(
-            query_idx=idx[rows], chunk_idx=idx[n_asked + columns], own=file[rows] == file[n_asked + columns],
-            score=scores[rows, columns],
-        )
-
-    found = map_groups(left.unionByName(right), cell, ["side", "idx"], search, T.StructType(fields))
-
-    order = Window.partitionBy(*keys, "query_idx").orderBy(F.desc("score"), "chunk_idx")
+    cell = [*group, "_row", "_column"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: _Cell | None = None
+        for batch in batches:
+            for start, end in cuts(batch, [*cell, "side"], chunk_block):
+                part = batch.iloc[start:end]
+                key = tuple(None if pd.isna(v) else v for v in part[cell].iloc[0])
+                if held is None or key != held.key:
+                    if held is not None and (rows := held.result(group)) is not None:
+                        yield rows
+                    held = _Cell(key, fetched)
+                (held.add_chunks if part["side"].iloc[0] else held.add_queries)(part)
+        if held is not None and (rows := held.result(group)) is not None:
+            yield rows
+
+    found = partitioned(both, *cell).sortWithinPartitions(*cell, "side", "idx").mapInPandas(run, T.StructType(fields))
+
+    order = Window.partitionBy(*group, "query_idx").orderBy(F.desc("score"), "chunk_idx")
     best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetched)
     if exclude_own_file:
         best = best.where(~F.col("own"))
@@ -129,7 +171,8 @@ def find_by_name(
     numbered = F.posexplode(wanted).alias("query_idx", "query")
     groups = chunks.select(*group).distinct() if group else chunks.sparkSession.range(1).select()
     unmatched = groups.select(*group, numbered).join(hits.select(*group, "query").distinct(), [*group, "query"], "left_anti")
-    asked = unmatched.withColumn("_text", F.concat(F.lit("function "), F.col("query")))
-    asked = embed_queries(asked, "_text", embed)
+    # the distinct names are few, as they are parameters: each is embedded once, whatever the number of groups
+    meant = unmatched.select("query").distinct().withColumn("_text", F.concat(F.lit("function "), F.col("query")))
+    asked = unmatched.join(embed_queries(meant, "_text", embed), "query")
     found = nearest(asked, chunks, group, k).join(unmatched, [*group, "query_idx"])
     return by_name.unionByName(found.select(*group, "query", "chunk_idx", "score", "rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.numbers import exact_sum, round_half_even
+from patchlake.functions.numbers import round_half_even
 from patchlake.operators.scan import issues
 
 PR = ["repo", "pr"]
@@ -64,7 +64,7 @@ def pr_rollup(files: DataFrame, reviewed: DataFrame) -> DataFrame:
         F.count("*").alias("files_reviewed"),
         F.sum("total_tokens").alias("total_tokens"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
-        exact_sum(cost(F.col("prompt_tokens"), F.col("completion_tokens"))).alias("cost"),
+        F.sum(cost(F.col("prompt_tokens"), F.col("completion_tokens"))).alias("cost"),
         F.max(utilization(F.col("prompt_tokens"))).alias("context_utilization"),
     )
     joined = changed.join(used, PR, "left").fillna(

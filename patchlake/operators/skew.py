@@ -1,18 +1,9 @@
-"""Helpers for groups of any size: spread lookups and numbering in two steps."""
+"""Numbering of groups of any size, in two steps."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], salts: int = 16) -> DataFrame:
-    """Left join to a side with unique keys, with every key of the left side spread over `salts` parts.
-
-    A key that holds a large share of the left rows is shared out by the hash of `spread_by`;
-    the right side is small per key and is repeated once per part.
-    """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+from patchlake.functions.frames import null_safe_join
 
 
 def with_running_start(
@@ -29,7 +20,7 @@ def with_running_start(
     starts = totals.select(*group, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("_start") + F.coalesce(F.sum(amount).over(inside), F.lit(0))
-    return blocked.join(starts, [*group, "_block"]).withColumn(out, upto.cast("long")).drop("_block", "_start")
+    return null_safe_join(blocked, starts, [*group, "_block"]).withColumn(out, upto.cast("long")).drop("_block", "_start")
 
 
 def with_position(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:

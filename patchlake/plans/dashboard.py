@@ -30,7 +30,8 @@ def avg_cost(rows: DataFrame) -> DataFrame:
 def success_rate(rows: DataFrame) -> DataFrame:
     """Can fall below zero: a review is counted only when it succeeds."""
     found = scalars(rows, reviews=REVIEWS, errors=ERRORS)
-    return found.select(_percent(F.col("reviews") - F.col("errors"), F.col("reviews")).alias("value"))
+    rate = found.select(_percent(F.col("reviews") - F.col("errors"), F.col("reviews")).alias("value"))
+    return displayed(rate, value=1)
 
 
 def error_count(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import saved
+from patchlake.functions.frames import null_safe_join, saved
 from patchlake.operators.batches import embed_texts
 from patchlake.operators.chunks import embedding_text, function_chunks, number_chunks
 from patchlake.operators.nearest import normalized
@@ -45,7 +45,7 @@ def embed_chunks(chunks: DataFrame, group: list[str], embed: Embed, size: int =
     texts = chunks.withColumn("_embed_text", embedding_text())
     texts = texts.select(*group, "chunk_idx", "n_tokens", "_embed_text")
     embedded = embed_texts(texts, group, "chunk_idx", "_embed_text", embed, size, tokens="n_tokens")
-    return chunks.join(normalized(embedded), [*group, "chunk_idx"])
+    return null_safe_join(chunks, normalized(embedded), [*group, "chunk_idx"])
 
 
 def _index(chunks: DataFrame, group: list[str], embed: Embed, size: int, folder: str) -> DataFrame:
@@ -53,12 +53,25 @@ def _index(chunks: DataFrame, group: list[str], embed: Embed, size: int, folder:
     return saved(embed_chunks(chunks, group, embed, size), f"{folder}/index")
 
 
+def fetched_files(pr_files: DataFrame) -> DataFrame:
+    """Changed files whose content was fetched: of a reviewed extension, and not empty."""
+    return pr_files.where(text.is_reviewed_path(F.col("filename")) & text.is_filled(F.col("content")))
+
+
+def index_runs(pr_files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each pull request with an index: the files that were fetched for it, also those that are not indexed, and its chunks."""
+    made = chunks.groupBy("repo", "pr").agg(F.count("*").alias("chunks_created"))
+    files = fetched_files(pr_files).groupBy("repo", "pr").agg(F.count("*").alias("files_indexed"))
+    return made.join(files, ["repo", "pr"])
+
+
 def index_repositories(files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Index of whole repositories, keyed by repo. Files have `file_ord`, their order in the repository."""
     return _index(chunk_table(files, ["repo"], folder, skip_blank=True), ["repo"], embed, size, folder)
 
 
 def index_pull_requests(pr_files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
-    """Index of the changed files of pull requests, keyed by (repo, pr)."""
-    files = pr_files.withColumn("file_path", F.col("filename"))
+    """Index of the changed files of pull requests, keyed by (repo, pr). Contents are fetched for files of the
+    reviewed extensions only, so no others are in the index."""
+    files = fetched_files(pr_files).withColumn("file_path", F.col("filename"))
     return _index(chunk_table(files, ["repo", "pr"], folder), ["repo", "pr"], embed, size, folder)

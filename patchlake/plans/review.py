@@ -1,6 +1,7 @@
 """Review of many pull requests: context, prompts, answers, comments, totals and points."""
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,11 +10,11 @@ from patchlake import fixed
 from patchlake.functions import text
 from patchlake.functions.frames import saved
 from patchlake.operators import context, points, reviews
-from patchlake.operators.answers import with_comments
-from patchlake.operators.batches import embed_queries
+from patchlake.operators.answers import comment_rows, with_comments
+from patchlake.operators.batches import embed_queries, embedding_calls
 from patchlake.operators.nearest import nearest
 from patchlake.operators.scan import issue_rows
-from patchlake.plans.indexing import Embed
+from patchlake.plans.indexing import Embed, index_pull_requests, index_runs
 
 PR = ["repo", "pr"]
 
@@ -21,7 +22,8 @@ PR = ["repo", "pr"]
 def retrieve(
     files: DataFrame, index: DataFrame, embed: Embed, folder: str, k: int = fixed.TOP_K, max_tokens: int = fixed.CONTEXT_TOKENS
 ) -> DataFrame:
-    """Files with `similar`, `related` and `context`. Files have `file_path`, `patch`, `content`, `file_ord`.
+    """Files with `similar`, `related`, `context` and `has_index`. Files have `file_path`, `patch`, `content`, `file_ord`.
+    Where a pull request has no index, nothing is retrieved and no retrieval point is due.
 
     The embedded queries are saved below `folder`, so that each text is embedded once.
     """
@@ -29,6 +31,8 @@ def retrieve(
     asked = asked.where(text.is_filled(F.col("_query")))
     queries = saved(embed_queries(asked, "_query", embed), f"{folder}/queries")
     matches = nearest(queries, index.select(*PR, "chunk_idx", "file_path", "embedding"), PR, k, exclude_own_file=True)
+    indexed = index.select(*PR).distinct().withColumn("has_index", F.lit(True))
+    files = files.join(indexed, PR, "left").withColumn("has_index", F.coalesce("has_index", F.lit(False)))
     found = context.gather(files.withColumn("query_idx", F.col("file_ord")), matches, index, PR)
     return context.with_context_text(found, max_tokens).drop("query_idx")
 
@@ -61,7 +65,72 @@ def request_security_events(requests: DataFrame) -> DataFrame:
     return issue_rows(requests.select("repo", F.col("pr_id").alias("pr"), "diff"), "diff", PR)
 
 
-def review_points(files: DataFrame, answered: DataFrame, durations: DataFrame, model: str) -> DataFrame:
+def review_points(files: DataFrame, answered: DataFrame, durations: DataFrame, model: str, keep: list[str] = ()) -> DataFrame:
     """Points of every reviewed pull request. `durations` has one row of seconds per (repo, pr)."""
     rolled = reviews.pr_rollup(files, answered.where(F.col("error_type").isNull()))
-    return points.review_points(rolled.join(durations, PR), model, "webhook")
+    return points.review_points(rolled.join(durations, PR), model, "webhook", keep)
+
+
+@dataclass(frozen=True)
+class ReviewRun:
+    """What one run over many pull requests gives. `points` has all metric points, with (repo, pr)."""
+
+    comments: DataFrame
+    headlines: DataFrame
+    fallback_bodies: DataFrame
+    security_events: DataFrame
+    points: DataFrame
+
+
+def review_pull_requests(
+    changed: DataFrame,
+    durations: DataFrame,
+    failed: DataFrame,
+    embed: Embed,
+    generate: Callable[[str], tuple[str, int, int, int]],
+    system: str,
+    model: str,
+    folder: str,
+    size: int = fixed.EMBEDDING_SIZE,
+) -> ReviewRun:
+    """The whole review: contents, index, context, prompts, answers, comments, bodies and points.
+
+    `changed` has the changed files with their contents, `durations` seconds per (repo, pr): duration, indexing_duration
+    and retrieval_duration (of one file). Pull requests in `failed` (repo, pr, error_type), as those whose contents could
+    not be read, get an error point and nothing else. A file whose call failed is left out of the review. Index, queries, prompts and
+    answers are saved below `folder`, so that no model is called twice.
+    """
+    files = changed.join(failed.select(*PR).distinct(), PR, "left_anti")
+    index = index_pull_requests(files, embed, folder, size)
+    prompted = saved(prompts(files, index, embed, system, folder).drop("similar", "related"), f"{folder}/prompts")
+    answered = answered_files(prompted, generate, folder)
+    commented = commented_files(answered)
+    events = security_events(files)
+    runs = index_runs(files, index).join(durations.select(*PR, F.col("indexing_duration").alias("duration")), PR)
+    found = prompted.where("has_index").join(durations.select(*PR, F.col("retrieval_duration").alias("duration")), PR)
+    all_points = [
+        review_points(files, answered, durations.select(*PR, "duration"), model, keep=PR),
+        points.security_points(events, "webhook", keep=PR),
+        points.error_points(failed, "webhook", keep=PR),
+        points.indexing_points(runs, keep=PR),
+        points.retrieval_points(found, keep=PR),
+        points.embedding_points(embedding_calls(index, PR), keep=PR),
+    ]
+    together = all_points[0]
+    for more in all_points[1:]:
+        together = together.unionByName(more)
+    return ReviewRun(
+        comment_rows(commented, [*PR, "file_ord"]), reviews.review_headlines(files, commented), reviews.fallback_bodies(commented), events, together
+    )
+
+
+def review_requests(answered: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """Requests sent in by hand, with their answers: the responses, and the points of the reviews and of the issues in the diffs."""
+    valid = reviews.valid_requests(answered)
+    done = valid.withColumns({
+        "pr": F.col("pr_id"), "cost": reviews.cost(F.col("prompt_tokens"), F.col("completion_tokens")),
+        "context_utilization": reviews.utilization(F.col("prompt_tokens")),
+        "total_changes": reviews.complexity(F.col("lines_added"), F.col("lines_deleted")),
+    })
+    made = points.review_points(done, model, "_experiment", keep=PR)
+    return reviews.request_records(valid), made.unionByName(points.security_points(request_security_events(valid), "_experiment", keep=PR))

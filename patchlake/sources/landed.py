@@ -17,11 +17,25 @@ def changed_files(landed: DataFrame, keys: list[str], body: str = "body") -> Dat
     )
 
 
+def _content_bytes(body: Column) -> Column:
+    return F.try_to_binary(F.regexp_replace(F.get_json_object(body, "$.content"), r"\s", ""), F.lit("base64"))
+
+
 def content_text(body: Column) -> Column:
-    """Text of a landed content response; null when there is none. Line breaks in the base64 are passed over."""
-    encoded = F.get_json_object(body, "$.content")
-    return F.decode(F.unbase64(F.regexp_replace(encoded, r"\s", "")), "UTF-8")
+    """Text of a landed content response; null when there is none, or when it is no base64 or no UTF-8.
+    Line breaks in the base64 are passed over."""
+    return F.try_validate_utf8(_content_bytes(body).cast("string"))
+
+
+def content_error(body: Column) -> Column:
+    """Name of what is wrong with a content that is there but can't be read, else null."""
+    held = F.get_json_object(body, "$.content").isNotNull()
+    return (
+        F.when(held & _content_bytes(body).isNull(), "binascii.Error")
+        .when(held & content_text(body).isNull(), "UnicodeDecodeError")
+    )
 
 
 def file_contents(landed: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    return landed.select(*keys, "filename", content_text(F.col(body)).alias("content"))
+    """One row per landed content: filename, content, and error_type, as the error points need it."""
+    return landed.select(*keys, "filename", content_text(F.col(body)).alias("content"), content_error(F.col(body)).alias("error_type"))

@@ -8,7 +8,7 @@ from patchlake.functions import tags
 
 
 def windowed(rows: DataFrame, width: str, late_by: str, by: str | None = None) -> DataFrame:
-    """Count and exact sum per window, metric and value of the tag `by`.
+    """Count and sum per window, metric and value of the tag `by`.
 
     Rows later than `late_by` behind the newest one are left out, and a window's state is let go once
     it can get no more rows. State is one row per window and key, not per point.
@@ -19,7 +19,7 @@ def windowed(rows: DataFrame, width: str, late_by: str, by: str | None = None) -
         rows = rows.withColumn(by, tags.value_of(F.col("tags"), by))
         keys.append(by)
     rolled = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(28,8)")).cast("double").alias("total")
+        F.count("*").alias("n"), F.sum("value").alias("total")
     )
     return rolled.select(F.col("_window.start").alias("bucket"), "metric_name", *([by] if by else []), "n", "total")
 

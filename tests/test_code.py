@@ -53,7 +53,7 @@ def test_imports(spark):
     code = "import os, sys\nimport app.core as c\nfrom . import x\nfrom .rel.y import z\nfrom os import path\n  import hidden\nfrom PIL import Image\nimport __future__\nfrom app.core import d\nimport Flask"
     df = spark.createDataFrame([("r", "f.py", code, "python"), ("r", "g.js", code, "javascript")], "repo string, file_path string, content string, language string")
     modules = spark.createDataFrame([("r", "app"), ("r", "os"), ("other", "PIL")], "repo string, module string")
-    rows = imports.classify(imports.import_rows(df, ["repo", "file_path"]), modules, ["repo"], salts=3)
+    rows = imports.classify(imports.import_rows(df, ["repo", "file_path"]), modules, ["repo"])
     got = [(r.raw_import, r.module_name, r.full_path, r.import_type, r.is_relative) for r in rows.orderBy("pos").collect()]
     assert got == [
         ("os", "os", "os", "stdlib", False), ("app.core", "app", "app.core", "local", False),

@@ -36,6 +36,7 @@ CASES = [
     ("pull_request", payload(number=None), True, ("rejected", 400, "Invalid payload", None)),
     ("pull_request", payload(sender="x"), True, ("rejected", 400, "Invalid payload", None)),
     ("pull_request", payload(action=3), True, ("rejected", 400, "Invalid payload", None)),
+    ("pull_request", b'{"action": "closed", ' + payload()[1:-1] + b', "sender": {}}', True, ("processing", 200, "PR review started", 5)),  # the last of two counts
     ("pull_request", b"{nope", True, ("rejected", 400, "Invalid payload", None)),
 ]
 
@@ -75,7 +76,11 @@ def test_landed_sources(spark):
     encoded = base64.encodebytes("é = 1\n".encode() * 30).decode()
     bodies = [("a.py", json.dumps({"content": encoded})), ("b.py", '{"message": "Not Found"}')]
     found = landed.file_contents(spark.createDataFrame(bodies, "filename string, body string"), []).orderBy("filename").collect()
-    assert [r.content for r in found] == ["é = 1\n" * 30, None]
+    assert [(r.content, r.error_type) for r in found] == [("é = 1\n" * 30, None), (None, None)]
+    odd = [(base64.b64encode(b"caf\xe9").decode(), "UnicodeDecodeError"), ("YWJjZ", "binascii.Error"), (base64.b64encode(bytes(range(256))).decode(), "UnicodeDecodeError"), ("", None)]
+    frame_ = spark.createDataFrame([(str(i), json.dumps({"content": c})) for i, (c, _) in enumerate(odd)], "filename string, body string")
+    found = landed.file_contents(frame_, []).orderBy("filename").collect()
+    assert [r.error_type for r in found] == [e for _, e in odd] and [r.content for r in found] == [None, None, None, ""]
 
 
 def test_stream_equals_batch(spark, tmp_path):

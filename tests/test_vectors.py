@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from checks.corpora import letter_counts
 from patchlake.functions.numbers import round_half_even
-from patchlake.operators import batches, context, nearest
+from patchlake.operators import batches, context, nearest, skew
+from patchlake.operators.chunks import number_chunks
 from patchlake.plans import indexing
 from tests import models
 
@@ -30,6 +31,20 @@ def test_batches_chained_over_families(spark, monkeypatch):
     assert [r.batch for r in rows] == models.batch_numbers(counts, 50, 6)
 
 
+def test_null_groups_are_kept(spark):
+    rows = [(g, i, 10) for g in (None, "a") for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, pos long, n long")
+    got = batches.token_batches(df, ["g"], "pos", "n", 50, 6, block=8).collect()
+    assert sorted((r.g or "", r.pos, r.batch) for r in got) == sorted((g or "", i, i // 5) for g, i, _ in rows)
+    placed = skew.with_position(spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, o long"), ["g"], "o", "at").collect()
+    assert sorted((r.g or "", r.o, r["at"]) for r in placed) == [("", 1, 0), ("", 2, 1), ("a", 3, 0)]
+    texts = df.withColumn("t", F.lit("x" * 40))
+    made = batches.embed_texts(texts, ["g"], "pos", "t", letter_counts, size=26, max_tokens=50, max_items=6).collect()
+    assert len(made) == 60 and {(r.g, r.batch) for r in made} == {(g, b) for g in (None, "a") for b in range(6)}
+    cut = spark.createDataFrame([(g, f, k) for g in (None, "a") for f in (0, None) for k in range(2)], "g string, file_ord long, chunk_ord int")
+    assert number_chunks(cut, ["g"]).count() == 8
+
+
 def test_embedding_failure_gives_zeros(spark):
     def embed(texts):
         if any("bad" in t for t in texts):
@@ -61,7 +76,7 @@ def test_nearest_in_blocks(spark):
     data[7] = ([0.0] * 8, "f1")
     df = spark.createDataFrame([("g", i, i, f, v) for i, (v, f) in enumerate(data)], "g string, query_idx long, chunk_idx long, file_path string, embedding array<float>")
     for exclude in (False, True):
-        rows = nearest.nearest(df, df, ["g"], 4, exclude, chunk_block=16, query_block=11).orderBy("query_idx", "rank").collect()
+        rows = nearest.nearest(df, df, ["g"], 4, exclude, chunk_block=16, grid=(3, 2)).orderBy("query_idx", "rank").collect()
         wanted = brute(data, data, 4, exclude)
         for q in range(60):
             got = [(r.chunk_idx, r.score) for r in rows if r.query_idx == q]
@@ -84,6 +99,21 @@ def test_find_by_name(spark):
     assert [(r.g, r.query, r.chunk_idx) for r in rows] == [("g", "user", 0), ("g", "zz", 1), ("h", "user", 0), ("h", "zz", 0)]
 
 
+def test_a_name_is_embedded_once(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def embed(texts):
+        import os
+        import uuid
+
+        open(os.path.join(calls, uuid.uuid4().hex), "w").close()
+        return [[1.0, 0.0] for _ in texts]
+
+    df = spark.createDataFrame([(f"g{g}", c, "f", "abc", [1.0, float(c)]) for g in range(6) for c in range(3)], "g string, chunk_idx long, file_path string, name string, embedding array<float>")
+    rows = nearest.find_by_name(df, ["g"], ["nowhere"], 1, embed=embed).collect()
+    assert len(rows) == 6 and len(list(tmp_path.iterdir())) == 1
+
+
 CHUNK = st.fixed_dictionaries({
     "file_path": st.sampled_from(["a.py", "dir/b.js"]), "start_line": st.integers(1, 99), "name": st.sampled_from(["", "f", "Klass"]),
     "content": st.integers(0, 900).map(lambda n: "é" * n),
