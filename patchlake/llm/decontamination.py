@@ -141,16 +141,17 @@ def matched(df: DataFrame, text: str, benchmark: DataFrame, item: str = "item_id
     repeated rows get the same answer and empty tables stay empty. The set of items is asked in blocks, each
     against all rows: a block is bounded, and so is what a worker holds.
     """
-    found: list[Column] = []
-    for items in _passes(benchmark, item, item_text):
-        held: list[Matcher] = []
+    def searching(items: list[tuple[int, str]]) -> Column:
+        held: list[Matcher] = []  # made by each task, once
 
-        def search(texts: pd.Series, items=items, held=held) -> pd.Series:
+        def search(texts: pd.Series) -> pd.Series:
             if not held:
                 held.append(Matcher(items, rate, least_chars))
             return pd.Series([held[0].matches(t) for t in texts], dtype=object)
 
-        found.append(F.pandas_udf(search, MATCHES).asNondeterministic()(F.col(f"`{text}`").cast("string")))
+        return F.pandas_udf(search, MATCHES).asNondeterministic()(F.col(f"`{text}`").cast("string"))
+
+    found = [searching(items) for items in _passes(benchmark, item, item_text)]
     if not found:
         return df.withColumn(out, F.array().cast(MATCHES))
     return df.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
