@@ -45,18 +45,18 @@ class _Cell:
     def __init__(self, key: tuple, k: int):
         self.key, self.k = key, k
         self.parts: list[pd.DataFrame] = []
+        self.queries: pd.DataFrame | None = None
         self.found: list[tuple] = []
 
     def add_queries(self, part: pd.DataFrame) -> None:
         self.parts.append(part)
 
     def add_chunks(self, part: pd.DataFrame) -> None:
-        if not self.parts:
-            return
-        if isinstance(self.parts, list):
-            queries = pd.concat(self.parts, ignore_index=True)
-            self.parts = queries.assign(embedding=None)
-            self.matrix = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+        if self.queries is None:
+            if not self.parts:
+                return
+            self.queries = pd.concat(self.parts, ignore_index=True)
+            self.matrix = np.stack(self.queries["embedding"].to_numpy()).astype(np.float64)
         scores = (self.matrix @ np.stack(part["embedding"].to_numpy()).astype(np.float64).T).astype(np.float32)
         rows, columns = _best(scores, self.k)
         self.found.append((rows, part["idx"].to_numpy()[columns], part["file"].to_numpy()[columns], scores[rows, columns]))
@@ -75,9 +75,9 @@ class _Cell:
             return None
         self._prune()
         rows, idx, file, score = self.found[0]
-        own = self.parts["file"].to_numpy()[rows]
+        own = self.queries["file"].to_numpy()[rows]
         out = pd.DataFrame({key: [value] * len(rows) for key, value in zip(keys, self.key)})
-        return out.assign(query_idx=self.parts["idx"].to_numpy()[rows], chunk_idx=idx, own=[a is not None and a == b for a, b in zip(own, file)], score=score)
+        return out.assign(query_idx=self.queries["idx"].to_numpy()[rows], chunk_idx=idx, own=[a is not None and a == b for a, b in zip(own, file)], score=score)
 
 
 def nearest(
