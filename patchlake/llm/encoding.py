@@ -2,18 +2,22 @@
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
+_MARK = re.compile(rb"[.,](?<=[a-z].)(?=[ \n])")
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:%#*$&|]*)")
-_encoders: dict = {}
 
 
 def encoder(path: str, word_wise: bool = True) -> "Encoder":
-    """The encoder of this Python process, so that its cache outlives a task."""
-    if (path, word_wise) not in _encoders:
-        _encoders[path, word_wise] = Encoder(path, word_wise)
-    return _encoders[path, word_wise]
+    """The encoder of this Python process, so that its cache outlives a task. It is held by a module of its own, as the
+    globals of functions that travel with their code are made anew for each task."""
+    held = vars(sys.modules.setdefault("patchlake_encoders", types.ModuleType("patchlake_encoders")))
+    if (name := f"{path} {word_wise}") not in held:
+        held[name] = Encoder(path, word_wise)
+    return held[name]
 
 
 class Encoder:
@@ -37,30 +41,38 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        """Words of letters with marks behind them are made from both parts; new parts are encoded many at a time,
-        and their ids cut where a token ends a word."""
-        parts, rest, new = [], [], set()
-        for word in words:
+        """Words of letters are encoded many at a time, and their ids cut where a token ends a word. Those with marks behind
+        the letters are made from both parts."""
+        known = self.words
+        letters = {w for w in words if w.isalpha()}  # ASCII
+        rest, parts = [], []
+        for word in words - letters:
             m = _PLAIN.fullmatch(word.decode().lower())
             if m is None:
                 rest.append(word)
                 continue
             core, marks = m[1].encode(), m[2].encode()
             parts.append((word, core, marks))
-            new.update(x for x in (core, marks) if x and x not in self.words)
-        letters = sorted(x for x in new if x[:1].isalpha() or x[0] > 127)
-        for at in range(0, len(letters), 1000):
-            some = letters[at : at + 1000]
+            if core not in known:
+                letters.add(core)
+            if marks and marks not in known:
+                rest.append(marks)
+        order = list(letters)
+        for at in range(0, len(order), 1000):
+            some = order[at : at + 1000]
             ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(some):
-                self.words.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                flat, start = ids.tobytes(), 0
+                for word, end in zip(some, cuts):
+                    known[word] = flat[start:end]
+                    start = end
             else:
-                self.words.update(zip(some, self._plain([x.decode() for x in some])))
-        others = [x for x in new if x not in self.words] + rest
-        self.words.update(zip(others, self._plain([x.decode() for x in others])))
-        known = self.words
-        known.update((word, known[core] + (known[marks] if marks else b"")) for word, core, marks in parts)
+                known.update(zip(some, self._plain([x.decode() for x in some])))
+        rest = list(set(rest))
+        known.update(zip(rest, self._plain([x.decode() for x in rest])))
+        for word, core, marks in parts:
+            known[word] = known[core] + known[marks] if marks else known[core]
 
     def encode(self, texts: list[str | None], slice_bytes: int = 2_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; nothing for a null or empty text."""
@@ -69,18 +81,25 @@ class Encoder:
         out: list[bytes] = []
         held, size = [], 0
         for text in texts:
-            held.append((text or "").encode().split())  # ASCII white space
-            size += len(text or "")
+            held.append(text or "")
+            size += len(held[-1])
             if size >= slice_bytes:
                 out += self._encode(held)
                 held, size = [], 0
         return out + self._encode(held)
 
-    def _encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        new = set().union(*texts) - self.words.keys()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # special tokens are found before letters are lowered; words are cut at ASCII white space, and in front of a mark that
+        # stands between a letter and white space
+        whole = [k for k, text in enumerate(texts) if "<|" in text]
+        cut = [[] if "<|" in text else _MARK.sub(rb" \g<0>", text.encode().lower()).split() for text in texts]
+        new = set().union(*cut) - self.words.keys()
         if len(self.words) + len(new) > self.most:
             self.words.clear()
-            new = set().union(*texts)
+            new = set().union(*cut)
         self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, text)) for text in texts]
+        out = [b"".join(map(get, words)) for words in cut]
+        for k, ids in zip(whole, self._plain([texts[k] for k in whole])):
+            out[k] = ids
+        return out
