@@ -131,7 +131,7 @@ def _passes(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int,
     return [[(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()] for b in range(blocks)]
 
 
-def matched(df: DataFrame, text: str, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 40, out: str = "matches") -> DataFrame:
+def matched(df: DataFrame, text: str, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", rate: float = 0.1, least_chars: int = 40, out: str = "matches") -> DataFrame:
     """Add the test items that a text holds: item_id, distance, and the words from start_word up to end_word, counted from 0 in
     the normal form. All other columns stay; one named `out` is replaced.
 

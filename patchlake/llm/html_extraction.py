@@ -233,7 +233,7 @@ def extracted(df: DataFrame, url: str, page: str, out: str = "text") -> DataFram
     if deleted.count() <= MOST_BROADCAST:
         deleted = F.broadcast(deleted)
     names = [c for c in df.columns if c != out]
-    joined = df.select(*[F.col(f"`{c}`") for c in names], _key(url, page).alias("_page_key")).join(deleted.withColumnRenamed("key", "_page_key"), "_page_key", "left")
+    joined = df.select(*[F.col(f"`{c}`") for c in names], _key(url, page).alias("_page_key")).join(deleted.toDF("_page_key", "_page_lines"), "_page_key", "left")
 
     def main_text(pages: pd.Series, gone: pd.Series) -> pd.Series:
         texts = []
@@ -245,4 +245,4 @@ def extracted(df: DataFrame, url: str, page: str, out: str = "text") -> DataFram
         return pd.Series(texts, dtype=object)
 
     udf = F.pandas_udf(main_text, "string").asNondeterministic()
-    return joined.select(*[F.col(f"`{c}`") for c in names], udf(F.col(f"`{page}`").cast("string"), "deleted").alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in names], udf(F.col(f"`{page}`").cast("string"), "_page_lines").alias(out))

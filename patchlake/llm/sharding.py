@@ -76,10 +76,14 @@ def sharded(df: DataFrame, key: str, tie: list[str], shards: int, virtual: int =
     """
     nodes = ring(shards, virtual)
     points, owners = [p for p, _ in nodes], [s for _, s in nodes]
-    placed = df.drop("shard", "slot", "moved").withColumn("_point", _point(F.col(f"`{key}`")))
+    names = [c for c in df.columns if c not in ("shard", "slot", "moved")]
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    # the row travels as one column, so that its names can't clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    placed = df.select(row, _point(F.col(f"`{key}`")).alias("_point"), *[F.col(f"`{c}`").alias(t) for c, t in zip(tie, ties)])
     placed = placed.withColumn("_arc", F.transform(F.array("_point"), lambda p: _arc(p, points))[0])
     counts = {r["_arc"]: r["n"] for r in placed.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    numbered = ranked(placed, sum(counts.values()), ["_arc"], ["_point", *tie], "_number")
+    numbered = ranked(placed, sum(counts.values()), ["_arc"], ["_point", *ties], "_number")
     by_arc: list[list[tuple]] = [[] for _ in nodes]
     for r in plan(counts, owners, shards):
         by_arc[r["arc"]].append((r["high"], r["low"], r["shard"], r["slot"], r["shard"] != owners[r["arc"]]))
@@ -91,7 +95,7 @@ def sharded(df: DataFrame, key: str, tie: list[str], shards: int, virtual: int =
     hit = F.get(F.filter("_runs", lambda r: (F.col("_number") >= r["low"]) & (F.col("_number") < r["high"])), 0)
     rows = numbered.join(F.broadcast(runs), "_arc").withColumn("_hit", hit)
     return rows.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot", "moved")],
+        "_row.*",
         F.col("_hit.shard").alias("shard"),
         (F.col("_hit.slot") + F.col("_number") - F.col("_hit.low")).alias("slot"),
         F.col("_hit.moved").alias("moved"),

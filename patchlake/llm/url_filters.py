@@ -136,7 +136,7 @@ def judged(df: DataFrame, url: str, rules: list[Rule] | None = None, counts: dic
 
     parts = F.struct(host.alias("host"), path.alias("path"), url_tokens(host, path).alias("tokens"))
     # a list of one element, so that the parts are worked out once
-    made = F.transform(F.array(parts), lambda p: F.struct(p["host"].alias("host"), p["path"].alias("path"), best(p).alias("best")))
+    made = F.transform(F.array(parts), lambda p: F.struct(p["host"].alias("host"), p["path"].alias("path"), best(p).alias("_url_best")))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     rows = df.select(*kept, F.inline(made))
-    return rows.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    return rows.select(*kept, "host", "path", F.col("_url_best.rule").alias("rule"), F.coalesce(F.col("_url_best.verdict"), F.lit(default)).alias("verdict"))
