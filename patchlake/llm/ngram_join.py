@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a token-group matrix, and the groups of near copies that it leads to.
 
 Equal sets are one node. Nodes that are alike are put into groups first, around leaders, and checked exactly. The matrix then holds,
-for each group, the union of its members' leading tokens; a node's overlap with a whole group is bounded from its
-tokens' places, and only groups whose bound is high enough are opened and compared member by member. So a
+for each group, the union of its members' leading tokens; a node's overlap with a whole group is bounded by the number and
+places of the tokens that it finds there, and only groups whose bound is high enough are opened and compared member by member. So a
 large group of near copies is met as one row per token, and no pairs within it are made.
 
 Leading tokens: with all sets in one order of tokens, two sets that link share a token among the first
@@ -11,6 +11,7 @@ that are frequent in some part of the input. Any order gives the same links, thi
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,11 @@ from patchlake.llm.shingles import fingerprint, shingle_sets
 
 #: Tokens with a count of their own; the most frequent stay. Bounds what each task is sent (16 bytes each).
 FREQUENT_TOKENS = 500_000
+#: Nodes in a group, at most about; so many sets, twice, are held by a task.
+GROUP_SIZE = 64
 _SLAB = 3_000_000  # tokens that a task counts at once
+#: Nodes whose sets are compared, up to which their list is sent to all tasks; beyond it is joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def _sets_and_counts(df: DataFrame, words: int) -> DataFrame:
@@ -83,29 +88,51 @@ def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) ->
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (F.least(na - pa_, nb - pb) >= need)
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose whole sets link. Each node's set comes from the text of one of its rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key", "fp"), "node")
+def _spare(percent: int, n: Column, other: Column) -> Column:
+    """A set of n tokens that links with one of `other` tokens has so many of its leading tokens in common at least, by its own
+    length: those in front of the k-th common one are k - 1 common ones and what it may have alone."""
+    leading = n - F.floor((n * percent + 99) / 100) + 1
+    return leading - n + (n + other) * percent / (100 + percent)
+
+
+def _least_common(percent: int, na: Column, nb: Column) -> Column:
+    """Leading tokens that two sets that link have in common, at least. An exact bound."""
+    return F.least(_spare(percent, na, nb), _spare(percent, nb, na)) - 1e-6
+
+
+def _held(wanted: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> DataFrame:
+    """(node, held): the whole sets of the wanted nodes, each from the text of one of its rows."""
+    wanted = kept(wanted.join(nodes.select("node", F.col("key").alias("_key"), "fp"), "node"))
+    side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    texts = df.join(side, F.col("key").eqNullSafe(F.col("_key"))).select("node", "fp", "text")
 
     def sets(batches):
         for batch in batches:
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             own = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "held"])
+            # rows of one key may have other texts
+            same = pa.array([fingerprint(x) == fp for x, fp in zip(own, batch["fp"].to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "held"]).filter(same)
+
+    return texts.mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.first("held").alias("held"))
 
-    keys = wanted.select(F.col("key").alias("_key")).distinct()
-    made = df.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi").select("text").mapInArrow(sets, "fp binary, held binary")
-    held = kept(wanted.select("node", "fp").join(made, "fp").dropDuplicates(["node"]).select("node", "held"))
+
+def _links(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _linked_pairs(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose whole sets link."""
+    held = _held(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, df, words)
 
     def check(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["held_a"], batch["held_b"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            ok = [_links(percent, np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch["held_a"], batch["held_b"])]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("held").alias("held_b")), "b")
@@ -113,6 +140,46 @@ def _linked(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, perce
     return kept(both.mapInArrow(check, "a long, b long"))
 
 
+def _linked_groups(opened: DataFrame, members: DataFrame, nodes: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of the opened pairs of groups (ga, gb), or within a group opened with itself.
+    Nodes of one component, known or found on the way, are not compared again."""
+    sides = opened.select(F.explode(F.array_distinct(F.array("ga", "gb"))).alias("grp"), "ga", "gb")
+    inside = sides.join(members.select("node", "grp", "component"), "grp").select("ga", "gb", "grp", "node", "component")
+    rows = inside.join(_held(inside.select("node").distinct(), nodes, df, words), "node").select("ga", "gb", "grp", "node", "component", "held")
+
+    def compare(held: list) -> list[tuple[int, int]]:
+        root = {c: c for *_, c, _ in held}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        found = []
+        sets = [(g, node, c, np.frombuffer(h, np.uint64)) for _, g, node, c, h in held]
+        for i, (g, node, c, x) in enumerate(sets):
+            for h, other, d, y in sets[i + 1 :]:
+                if (g == h) == (held[0][0][0] == held[0][0][1]) and (u := find(c)) != (v := find(d)) and _links(percent, x, y):
+                    root[u] = v
+                    found.append((node, other))
+        return found
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if held and held[0][0] != (row.ga, row.gb):
+                    out += compare(held)
+                    held = []
+                held.append(((row.ga, row.gb), row.grp, row.node, row.component, row.held))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
+
+    return kept(rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "grp", "node").mapInPandas(run, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the ends of `edges` (a, b); the component is its smallest node.
 
@@ -150,33 +217,49 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, percent: int
     token, count = common["token"].to_numpy(np.int64).view(np.uint64), common["rows"].to_numpy(np.int64)
     order = np.argsort(token)
     leading = _leading(docs, words, percent, (token[order], count[order])).where("n > 0")
-    nodes = kept(leading.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    # numbers of a kept table's rows stay the same
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
-    entries = nodes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
-    leader = F.min(F.struct("place", "node", "n"))
-    meeting = entries.groupBy("token").agg(leader.alias("leader"), F.max("node").alias("last"), F.min("node").alias("first")).where("first < last").select("token", "leader")
+    nodes = leading.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").cast("int").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()))
+    entries = nodes.select(F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))).alias("e"), "node", "n")
+    entries = entries.select("e.token", "node", "n", "e.place")
+    meeting = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     shared = kept(entries.join(meeting, "token"))
-    stars = shared.where(F.col("node") != F.col("leader.node"))
-    stars = stars.where(_may_link(percent, F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place")))
-    links = _linked(kept(stars.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()), nodes, docs, words, percent)
-    groups = kept(components(links))
-    # the matrix: one row per token and group, with what bounds the overlap of a query with any member
-    members = kept(shared.drop("leader").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component"))
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("place").alias("least_place"))
-    several = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
+    # around leaders: for each token the node in which it comes first, for each node the leader that it meets most often
+    leaders = shared.groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("leader"))
+    met = shared.join(leaders, "token").where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "leader.node", "leader.n").agg(
+        F.count(F.lit(1)).alias("met"), F.max(_may_link(percent, F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"))).alias("may")
+    ).toDF("node", "n", "leader", "leader_n", "met", "may")
+    least = _least_common(percent, F.col("n"), F.col("leader_n"))
+    best = met.where(F.col("may") & (F.col("met") * 2 >= least)).groupBy("node").agg(F.max(F.struct((F.col("met") >= least).alias("likely"), "met", "leader")).alias("best"))
+    best = kept(best.select("node", "best.*"))
+    links = _linked_pairs(best.where("likely").select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, docs, words, percent)
+    linked = kept(components(links))
+    # groups: components; nodes that met one leader often, but do not link with it; all others alone. Large ones are cut up
+    placed = shared.select("node").distinct().join(linked, "node", "left").join(best.select("node", "leader"), "node", "left")
+    placed = placed.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component", "leader", "node").alias("base"), F.col("component").isNotNull().alias("one"))
+    sizes = placed.groupBy("base", "one").agg(F.count(F.lit(1)).alias("members"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP_SIZE))
+    # nodes that others do not share a group with keep their number, so that groups have one number of 64 bits
+    grp = F.when(F.col("members") == 1, F.xxhash64(F.col("node"))).otherwise(F.xxhash64("base", "one", block))
+    members = kept(placed.join(sizes, ["base", "one"]).select("node", "component", "one", grp.alias("grp"), "members"))
+    # the matrix: one row per token and group, with what bounds the overlap of any two members
+    matrix = shared.join(members, "node").groupBy("token", "grp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("place"), F.min(F.when(F.col("one"), F.col("component"))).alias("component")
+    )
+    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
     matrix = kept(matrix.join(several, "token"))
-    asked = members.join(several, "token")
-    q = asked.select("token", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("place").alias("qp"), F.col("grp").alias("qg"))
-    size = F.greatest(F.least(F.col("qn"), F.col("most_n")), F.col("least_n"))  # the member size that is nearest to the query's
-    bound = (F.col("qn") * 100 >= size * percent) & (size * 100 >= F.col("qn") * percent)
-    need = (F.col("qn") + F.col("least_n")) * percent / (100 + percent) - 1e-6
-    bound = bound & (F.col("qn") - F.col("qp") >= need) & (F.col("most_n") - F.col("least_place") >= need)
-    opened = q.join(matrix, "token").where((F.col("qg") < F.col("grp")) & bound).select("token", "grp", "q", "qn", "qp")
-    x = members.select("token", "grp", F.col("node").alias("x"), "n", "place")
-    pairs = opened.join(x, ["token", "grp"]).where(_may_link(percent, F.col("qn"), F.col("qp"), F.col("n"), F.col("place")))
-    more = _linked(kept(pairs.select(F.col("q").alias("a"), F.col("x").alias("b")).distinct()), nodes, docs, words, percent)
-    final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    a, b = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("grp", "low", "high", "place", "component")]) for side in "ab")
+    size = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    other = F.coalesce(F.col("component_a") != F.col("component_b"), F.lit(True))
+    need = (F.col("low_a") + F.col("low_b")) * percent / (100 + percent) - 1e-6
+    early = F.least(F.col("high_a") - F.col("place_a"), F.col("high_b") - F.col("place_b")) >= need
+    wide = F.when((F.col("low_a") < F.col("high_a")) | (F.col("low_b") < F.col("high_b")), 1).otherwise(0)  # sizes between round otherwise
+    least = F.least(_spare(percent, F.col("high_a"), F.col("low_b")), _spare(percent, F.col("high_b"), F.col("low_a"))) - wide - 1e-6
+    common = a.join(b, "token").where((F.col("grp_a") < F.col("grp_b")) & size & other)
+    common = common.groupBy(F.col("grp_a").alias("ga"), F.col("grp_b").alias("gb")).agg(F.count(F.lit(1)).alias("met"), F.max(early).alias("early"), F.min(least).alias("least"))
+    opened = common.where(F.col("early") & (F.col("met") >= F.col("least"))).select("ga", "gb")
+    alone = members.where(~F.col("one") & (F.col("members") > 1)).select(F.col("grp").alias("ga"), F.col("grp").alias("gb")).distinct()
+    more = _linked_groups(kept(opened.union(alone)), members, nodes, docs, words, percent)
+    final = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     owned = nodes.select("node", "fp", "key").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = owned.groupBy("component").agg(F.min("key").alias("component_id"))
     named = owned.join(names, "component").select("fp", "component_id")

@@ -1,13 +1,12 @@
 """What several operators use: the shared folder, saved tables, numbering of groups of any size."""
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one window of `ranked` holds, on average.
-ROWS_PER_WINDOW = 20_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, that the driver and all executors share.
@@ -26,10 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Work the rows out now and keep them in the shared folder, so that lost executors cost no rerun of what
-    came before, and several readers see the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Work the rows out now and keep them as a table below the shared folder, so that lost executors cost no rerun of
+    what came before, and several readers see the same rows. Tables are compressed, and readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(column: str) -> Column:
@@ -39,11 +39,12 @@ def text_or_empty(column: str) -> Column:
 def ranked(df: DataFrame, rows: int, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each group from 0, in an order that depends on the columns `order` alone.
 
-    No window holds a whole group: its rows are dealt over buckets by the hash of `order`, in a number that
-    follows `rows`, the rows of `df`; a group's rows in earlier buckets are added from counts. `df` is read
+    No window holds a whole group: its rows are dealt over buckets by the hash of `order`, as many as the root of
+    `rows`, the rows of `df`, so that neither a bucket nor the list of buckets is long; a group's rows in earlier buckets are
+    added from counts. `df` is read
     twice and has to be cheap or kept. Rows equal in keys and order are numbered in any order.
     """
-    buckets = max(1, -(-rows // ROWS_PER_WINDOW))
+    buckets = math.isqrt(rows) + 1
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
