@@ -254,9 +254,12 @@ def near_copies(df: DataFrame, key: str, text: str, words: int = 5, percent: int
     early = F.least(F.col("high_a") - F.col("place_a"), F.col("high_b") - F.col("place_b")) >= need
     wide = F.when((F.col("low_a") < F.col("high_a")) | (F.col("low_b") < F.col("high_b")), 1).otherwise(0)  # sizes between round otherwise
     least = F.least(_spare(percent, F.col("high_a"), F.col("low_b")), _spare(percent, F.col("high_b"), F.col("low_a"))) - wide - 1e-6
-    common = a.join(b, "token").where((F.col("grp_a") < F.col("grp_b")) & size & other)
-    common = common.groupBy(F.col("grp_a").alias("ga"), F.col("grp_b").alias("gb")).agg(F.count(F.lit(1)).alias("met"), F.max(early).alias("early"), F.min(least).alias("least"))
-    opened = common.where(F.col("early") & (F.col("met") >= F.col("least"))).select("ga", "gb")
+    # first by the place of the first common token, a row per token that is early in both; then by the number of common tokens
+    early_pairs = a.join(b, "token").where((F.col("grp_a") < F.col("grp_b")) & size & other & early)
+    early_pairs = kept(early_pairs.groupBy(F.col("grp_a").alias("ga"), F.col("grp_b").alias("gb")).agg(F.min(least).alias("least")))
+    union = matrix.groupBy("grp").agg(F.collect_set("token").alias("tokens"))  # bounded by the size of a group
+    both = early_pairs.join(union.toDF("ga", "tokens_a"), "ga").join(union.toDF("gb", "tokens_b"), "gb")
+    opened = both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("least")).select("ga", "gb")
     alone = members.where(~F.col("one") & (F.col("members") > 1)).select(F.col("grp").alias("ga"), F.col("grp").alias("gb")).distinct()
     more = _linked_groups(kept(opened.union(alone)), members, nodes, docs, words, percent)
     final = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
