@@ -16,7 +16,7 @@ from patchlake.operators import (
     answers, batches, chunks, context, definitions, deliveries, diffs, imports, nearest, points, reviews, rollups, scan, skew,
 )
 from patchlake.plans import dashboard, indexing, review
-from patchlake.sources import files, landed
+from patchlake.sources import files, landed, points_table
 from patchlake.streaming import deliveries as delivery_stream
 from patchlake.streaming import rollup as rollup_stream
 
@@ -137,6 +137,15 @@ def metric_rows_with_tag(spark, sf):
     return _pairs(rollups.rows_with_tag(corpora.rows(spark, sf), "success", "false")).drop("service", "env")
 
 
+def stored_points_by_day(spark, sf):
+    """Rows appended to the table, and read back for ten days and one repository."""
+    path = f"{scratch(spark)}/points"
+    points_table.append(corpora.rows(spark, sf), path)
+    found = rollups.select_rows(points_table.read(spark, path, "2024-01-10", "2024-01-19"), repo="org/r3")
+    counted = found.groupBy(F.col("event_date").cast("string").alias("event_date"), "metric_name")
+    return _stable(counted.agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
 def rollup_by_type(spark, sf):
     rows = corpora.rows(spark, sf).withColumn("repo", tags.value_of(F.col("tags"), "repo"))
     return _stable(rollups.by_type(rows, ["repo"], "1 day"))
@@ -539,7 +548,7 @@ QUERIES = {
         security_by_type, security_issues_documents, security_issues_pages, security_issues_conversations,
         security_issues_patches, secrets, personal_data, prompt_injection, security_events, request_security_events,
         points_review, points_security, points_error, points_indexing, points_retrieval, points_embedding, metric_rows,
-        metric_rows_selected, metric_rows_with_tag, rollup_by_type, file_filter, decoded_files, local_modules,
+        metric_rows_selected, metric_rows_with_tag, stored_points_by_day, rollup_by_type, file_filter, decoded_files, local_modules,
         classified_imports, imports_by_type, definition_rows, file_summaries, chunks_function, chunks_code, chunks_fixed,
         chunk_numbers, file_to_chunks, embedding_texts, token_estimates, truncated_texts, token_batches,
         normalized_vectors, nearest_vectors, nearest_vectors_other_file, embedded_chunks, similar_chunks, related_chunks,

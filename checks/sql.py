@@ -483,6 +483,8 @@ def _stable(body: str, *columns: str) -> str:
     return f"select * replace ({', '.join(f'printf({_quote("%.11e")}, "{c}"::double)::double as "{c}"' for c in columns)}) from ({body})"
 
 
+_BODIES["stored_points_by_day"] = _stable("""select strftime(ts, '%Y-%m-%d') event_date, metric metric_name, count(*) n, sum(value) total from points
+    where repo = 'org/r3' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1, 2""", "total")
 _BODIES["repository_index"] = f"""select f.repo, f.file_path, c.chunk_ord, row_number() over (partition by f.repo order by doc_id, c.chunk_ord) - 1 chunk_idx, true embed_ok
     from chunks c join code_files f using (doc_id) where not list_has_any(string_split(f.file_path, '/'), {_list(fixed.SKIPPED_DIRS)})
         and f.ext in {_in(fixed.INDEXED_EXTENSIONS)} and trim(f.content) <> ''"""

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 def append(rows: DataFrame, path: str) -> None:
     """Append metric rows. Rows of a day are brought together to avoid small files, and a day that is
-    much larger than others is split again by adaptive execution. Without rows nothing is added.
+    much larger than others is split again by adaptive execution. Files are sorted by metric, so that readers of one
+    metric skip most of a day. Without rows nothing is added.
     """
     dated = rows.withColumn("event_date", F.to_date("timestamp"))
-    dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "metric_name").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
