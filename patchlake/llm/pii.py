@@ -33,13 +33,33 @@ PATTERNS = {
     r"|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z+.-])[1-9][0-9]{3}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?![0-9]{2,4} \(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])",
     "name": rf"(?<=\b(?:{'|'.join(_TITLES)})\.?[ ]){_NAME}(?: {_NAME})?|(?<![\p{{L}}]){_KNOWN} {_NAME}",
 }
-# All kinds begin at the start of a word: the first look is cheap, and the patterns are tried there only.
-ANY = r"(?<![0-9A-Za-z])(?=[\p{Lu}0-9A-Za-z+(._%/-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What card numbers are made of: at each start, the most whole groups of digits, 13 to 19 of them. Which of its beginnings is a card, Luhn's check says.
+RUN = r"(?<![0-9A-Za-z+.])(?<!(?<![0-9])-)(?=([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]))"
+# Groupings of cards. Other runs that pass the check count as cards where they are no phones and hold no phone or ssn.
+_GROUPED = r"\A(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{6}[ -][0-9]{7,13}|[0-9]{8}[ -][0-9]{8})\z"
+_HOLDS_OTHER = r"(?<![0-9])[0-9]{3}(?:-[0-9]{2}(?:-|\z)|[ -][0-9]{3}[ -][0-9]{4}(?![0-9]))"
+# Groups before a card that a phone, or four groups of four digits, would take along with its first ones.
+_LEADS_ON = r"(?:(?:[0-9]{4}[ -]){1,3}|\+[0-9]{1,3}[ .-]|(?:\+[0-9]{1,3}[ .-]?)?(?:\(?[0-9]{2,4}\)?[ .-]{1,2}){1,2})"
+_SURE = r"(?<![0-9A-Za-z+.])(?<!(?<![0-9])-)(?=[0-9](?:[ -]?[0-9]){12})(?:"
+
+
+def _any() -> list[str]:
+    """The pattern of all kinds, cut where the cards of a text go: grouped ones after the ssn, others after the phone. All kinds
+    begin at the start of a word: the first look is cheap, and the patterns are tried there only."""
+    parts = {kind: f"(?:{p})" for kind, p in PATTERNS.items()}
+    first, second = (list(parts).index(k) + 1 for k in ("ssn", "phone"))
+    kinds = list(parts.values())
+    start = r"(?<![0-9A-Za-z])(?=[\p{Lu}0-9A-Za-z+(._%/-])(?:"
+    return [start + "|".join(kinds[:first]), "|".join(kinds[first:second]), "|" + "|".join(kinds[second:]) + ")"]
+
+
+#: For texts without cards. Four groups of four digits that are no card are none of the other kinds either.
+ANY = "{}|{}{}".format(*_any())
 #: Texts without any of these hold no entity and are not looked at further.
 HINT = rf"[0-9@]|[=:](?<=(?i:token|secret|password|passwd|pwd|key)\s{{0,2}}[=:])|(?<![\p{{L}}])(?:(?=[{''.join(sorted({t[0] for t in _TITLES}))}])(?:{'|'.join(_TITLES)})\b|{_KNOWN} )"
 
@@ -176,9 +196,38 @@ def surrogate(entity: Column, kind: Column, key: Column) -> Column:
     )
 
 
+def _cards(text: Column) -> Column:
+    """All numbers in a text that pass Luhn's check, also those that are the beginning of a longer run of digits; long ones first."""
+    beginnings = [rf"\A[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19, 12, -1)]
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(1)))
+    tried = F.flatten(F.transform(runs, lambda r: F.array(*[F.regexp_extract(r, b, 0) for b in beginnings])))
+    passed = F.array_distinct(F.filter(tried, lambda t: F.when(t != "", _luhn(_digits(t), 1) % 10 == 0).otherwise(F.lit(False))))
+    return F.reverse(F.array_sort(F.transform(passed, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))["t"]
+
+
+def pattern(text: Column) -> Column:
+    """The pattern for a text: ANY, with the cards of the text in it word for word."""
+    first, second, third = _any()
+
+    def with_cards(cards: Column) -> Column:
+        def listed(some: Column) -> Column:
+            return F.when(F.size(some) > 0, F.concat(F.lit(_SURE), F.array_join(some, "|"), F.lit(")(?![0-9A-Za-z])"))).otherwise("(?!)")
+
+        grouped = F.filter(cards, lambda c: F.rlike(c, F.lit(_GROUPED)))
+        other = F.filter(cards, lambda c: ~F.rlike(c, F.lit(f"{_GROUPED}|{_HOLDS_OTHER}")))
+        whole = F.concat(F.lit(f"{first}|"), listed(grouped), F.lit(f"|(?!{_LEADS_ON}"), listed(grouped), F.lit(f")(?:{second})|"), listed(other), F.lit(third))
+        return F.when(F.size(cards) > 0, whole).otherwise(F.lit(ANY))
+
+    return F.when(F.rlike(text, F.lit(RUN)), _let(_cards(text), with_cards)).otherwise(F.lit(ANY))
+
+
+def _fitting(text: Column, any_kind: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(HINT)), F.regexp_extract_all(text, F.concat(F.lit("("), any_kind, F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
 def found(text: Column) -> Column:
     """Everything in a text that one of the patterns fits, in order."""
-    return F.when(F.rlike(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return _let(pattern(text), lambda p: _fitting(text, p))
 
 
 def pseudonymised(df: DataFrame, text: str, key: str, out: str = "entities") -> DataFrame:
@@ -207,12 +256,15 @@ def pseudonymised(df: DataFrame, text: str, key: str, out: str = "entities") ->
 
     body = F.col(column).cast("string")
 
-    def rebuilt(es: Column) -> Column:
-        between = F.split(body, ANY, -1)
+    def rebuilt(es: Column, any_kind: Column) -> Column:
+        between = F.split(body, any_kind, -1)
         pieces = _let(replaced(es), lambda s: F.zip_with(between, s, lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))))
         return F.when(F.size(es) > 0, F.array_join(pieces, "")).otherwise(body)
 
-    made = F.transform(F.array(entities(found(body))), lambda es: F.struct(rebuilt(es).alias("text"), F.filter(F.transform(es, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds")))
+    def all_made(any_kind: Column) -> Column:
+        return F.transform(F.array(entities(_fitting(body, any_kind))), lambda es: F.struct(rebuilt(es, any_kind).alias("text"), F.filter(F.transform(es, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds")))
+
+    made = _let(pattern(body), all_made)
     rows = df.drop(out) if text != out else df
     kept = [F.col("_made.text").alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns]
     done = rows.select("*", F.inline(F.transform(made, lambda m: F.struct(m.alias("_made")))))
