@@ -26,6 +26,9 @@ _TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Sr",
 _KNOWN = f"(?=[{''.join(sorted({n[0] for names in FIRST_NAMES.values() for n in names}))}])(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)})"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 
+# A blank inside a phone: not before an ssn, an ip or the groups of a card.
+_ON = r" (?![0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}(?:[ -][0-9]{4}){2}|[0-9]{4}[ -][0-9]{6}[ -]|[0-9]{13})"
+
 # Kind -> pattern. Borders keep every pattern from being tried again inside a long word.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
@@ -35,7 +38,14 @@ PATTERNS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z+.-])[1-9][0-9]{3}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?![0-9]{2,4} \(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?![0-9]{2,4} \(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])"
+    # + and 8 to 15 digits in groups of any size; a leading 0 and 9 to 12 digits (no dates); nine digits as in Spain; ten digits in one after a word for phone.
+    rf"|(?<![0-9A-Za-z+])\+(?:(?:[.-]|{_ON}|[ /-]?\(|\)[ /-]?|/)?[0-9]){{8,15}}(?![0-9A-Za-z])"
+    rf"|(?<![0-9A-Za-z+.,/-])(?!0[0-9][ ./-][0-9]{{2}}[ ./-](?:19|20)[0-9]{{2}}(?![0-9]))(?=0[0-9]{{1,6}}[ /-])0(?:(?:(?:{_ON}|[/-])(?=[0-9]{{2}}))?[0-9]){{8,11}}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z+.,/-])0[0-9](?:\.[0-9]{2}){4}(?![0-9A-Za-z]|\.[0-9])"
+    r"|(?<![0-9A-Za-z+.,/-])\(0[0-9]{1,5}\)(?: ?[/-]? ?[0-9]{2,8}){1,4}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z+.,/-])[6-9][0-9]{2}(?: [0-9]{2}){3}(?![0-9A-Za-z]| [0-9])"
+    r"|(?<=\b(?i:phone|tel|telephone|telefon|téléphone|teléfono|tél|mobile|móvil|handy|call|fax|cell)\b[.:]{0,2} {0,2})[0-9]{9,12}(?![0-9A-Za-z])",
     "name": rf"(?<=\b(?:{'|'.join(_TITLES)})\.?[ ]){_NAME}(?: {_NAME})?|(?<![\p{{L}}]){_KNOWN} {_NAME}",
 }
 #: What card numbers are made of: at each start, the most whole groups of digits, 13 to 19 of them. Which of its beginnings is a card, Luhn's check says.
@@ -156,7 +166,7 @@ def kind_of(entity: Column) -> Column:
         .when(F.rlike(entity, F.lit(octet)), "ip")
         .when(F.rlike(entity, F.lit(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z")), "ssn")
         .when(F.rlike(entity, F.lit(r"\A[0-9](?:[ -]?[0-9]){12,18}\z")), F.when(_luhn(digits, 1) % 10 == 0, "card"))
-        .when(F.rlike(entity, F.lit(r"\A[+(]?[0-9][0-9 ().-]*\z")) & (F.length(digits) <= 18), "phone")
+        .when(F.rlike(entity, F.lit(r"\A[+(]?[0-9][0-9 ()./-]*\z")) & (F.length(digits) <= 18), "phone")
         .when(F.rlike(entity, F.lit(r"\A[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}")), "iban")
         .when(F.rlike(entity, F.lit(rf"\A{_NAME}(?: {_NAME})?\z")), "name")
         .otherwise("secret")
@@ -180,7 +190,7 @@ def surrogate(entity: Column, kind: Column, key: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), cipher(F.substring(d, F.lit(2), F.length(d) - 2), (DIGITS,), key, "card"))
         return _let(body, lambda b: F.concat(b, ((10 - _luhn(b, 0) % 10) % 10).cast("string")))
 
-    code = F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[ ./(-])", 0)
     code = F.when(code == "", F.regexp_extract(entity, r"\A\+[0-9]", 0)).otherwise(code)
     rest = F.substring(entity, F.length(code) + 1, F.length(entity))
     phone = F.concat(code, _laid_over(rest, cipher(_digits(rest), (DIGITS,), key, "phone")))

@@ -23,3 +23,16 @@ def test_numbers_side_by_side(spark):
     for text, (kinds, gone, stay) in cases.items():
         assert got[text][0] == kinds, (text, got[text])
         assert not any(x in got[text][1] for x in gone) and all(x in got[text][1] for x in stay), (text, got[text])
+
+
+def test_phones_of_several_countries(spark):
+    phones = ["+49 711 1234567", "+49 (0)711 123-4567", "+49 711/1234567", "+33 1 23 45 67 89", "+34 612 34 56 78", "+1 555 123 4567", "+442079460123", "0711 123456", "0711/1234567", "(0711) 123456", "030 12345678", "01 23 45 67 89",
+              "01.23.45.67.89", "020 7946 0123", "612 34 56 78", "912 345 678", "(269) 555-3296"]
+    cases = {f"{a} {p}{b}": p for a, b in (("Call", "."), ("Tél.", ", ok")) for p in phones} | {"Telefon: 5551234567": "5551234567"}
+    for text, (kinds, made) in kinds_of(spark, cases).items():
+        assert kinds == ["phone"] and cases[text] not in made and len(made) == len(text), (text, kinds, made)
+    none = ["01-02-2024 and 01.02.2024 or 01/02/2024 10:30", "05 06 2024", "0.123456789", "id 5551234567", "007 05", "2024-01-15 09:30", "v01.02.03", "0,123 456"]
+    for text, (kinds, made) in kinds_of(spark, none).items():
+        assert kinds == [] and made == text, (text, kinds, made)
+    got = kinds_of(spark, ["0711 1234567 123-45-6789", "+49 711 1234567 4111 1111 1111 1111", "+33 1 23 45 67 89 123-45-6789"])
+    assert [k for k, _ in got.values()] == [["phone", "ssn"], ["phone", "card"], ["phone", "ssn"]] and not any(x in m for _, m in got.values() for x in ("1234567", "123-45-6789", "1111"))
