@@ -28,10 +28,12 @@ BOILER, OPEN, ARTICLE = 0, 1, 2
 MOST_BROADCAST = 100_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|math|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
+#: Elements whose content is no text of the page. Of those that are never closed only some run to the end of the page.
+_SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript template iframe svg textarea select object math canvas title".split()}
+_TO_THE_END = frozenset("script style textarea title".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,14 +84,25 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                     boiler = any(b and t != "header" for t, b, _ in stack)  # the title of an article in its own header
                 out.append((text, BOILER if boiler else ARTICLE if any(a for _, _, a in stack) else OPEN))
 
-    for m in _TOKEN.finditer(page or ""):
+    page = page or ""
+    at, unclosed = 0, set()
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         token = m[0]
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             if token[0] != "<" or token == "<":
                 held.append(token)
             continue
         tag = tag.lower()
+        if tag in _SKIPPED and not m[1]:
+            if tag in _TO_THE_END or not (m[3].endswith("/") or tag in unclosed):
+                end = _SKIPPED[tag].search(page, at)
+                if end or tag in _TO_THE_END:
+                    at = end.end() if end else len(page)
+                else:
+                    unclosed.add(tag)
+            continue
         if tag == "br":
             held.append(" ")
             continue
@@ -97,7 +110,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag not in _INLINE:
             flush()
-        if m[2]:
+        if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -107,15 +120,15 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             stack.pop()
         if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        if (tag in _INLINE and tag != "span") or tag == "hr" or m[4].endswith("/"):
+        if (tag in _INLINE and tag != "span") or tag == "hr" or m[3].endswith("/"):
             continue
         in_article = any(a for _, _, a in stack)
-        boiler = _is_boiler(tag, m[4], in_article)
+        boiler = _is_boiler(tag, m[3], in_article)
         if tag == "span" and not boiler and not any(t == "span" for t, _, _ in stack):
             continue
         if tag == "span" and boiler:
             flush()
-        article = tag in ("article", "main") or ("role" in m[4] and re.search(r"role\s*=\s*[\"']?main\b", m[4]) is not None)
+        article = tag in ("article", "main") or ("role" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3]) is not None)
         article = article and not boiler and not any(b for _, b, _ in stack)
         stack.append((tag, boiler, article))
     flush()
