@@ -237,8 +237,7 @@ def _key(url: str, page: str):
 def extracted(df: DataFrame, url: str, page: str, out: str = "text") -> DataFrame:
     """Add the main text: blocks in page order, one line each. All other columns stay; one named `out` is replaced.
 
-    If a page has an article or main element, its text is what that holds, less boilerplate elements inside; else all
-    blocks outside boilerplate elements, less those that the differencing deletes. Null and empty pages and pages without
+    That is all blocks outside boilerplate elements, less those outside article and main elements that the differencing deletes. Null and empty pages and pages without
     text have an empty one. Pages without a host (null or broken urls) are not paired. Pages with equal url and html
     count as one and get the same text. Ties in the order of paths go by the hash of the page. An empty table stays empty.
     """
@@ -253,8 +252,7 @@ def extracted(df: DataFrame, url: str, page: str, out: str = "text") -> DataFram
         for p, g in zip(pages, gone):
             cut = lines(p)
             g = set() if g is None else set(np.asarray(g).tolist())
-            zone = ARTICLE if any(z == ARTICLE for _, z in cut) else OPEN
-            texts.append("\n".join(t for i, (t, z) in enumerate(cut) if z == zone and not (zone == OPEN and i in g)))
+            texts.append("\n".join(t for i, (t, z) in enumerate(cut) if z == ARTICLE or (z == OPEN and i not in g)))
         return pd.Series(texts, dtype=object)
 
     udf = F.pandas_udf(main_text, "string").asNondeterministic()

@@ -13,3 +13,14 @@ def test_elements_that_are_not_closed():
     assert [t for t, _ in lines('<p>one</p><svg class="i"/><p>two</p><svg><text>x</text></svg><p>three')] == ["one", "two", "three"]
     assert [t for t, _ in lines("<p>one<script>two<p>three")] == ["one"] and [t for t, _ in lines("<title-bar>a</title-bar><title>b</title>c")] == ["a", "c"]
     assert len(lines("<svg><p>x</p>" * 20_000)) == 20_000
+
+
+def texts(spark, pages):
+    df = spark.createDataFrame(list(pages.items()), "url string, html string")
+    return {r.url: r.text for r in html_extraction.extracted(df, "url", "html").collect()}
+
+
+def test_differencing_decides_outside_of_articles(spark):
+    page = "<div>Site</div><div>body of {0}</div><div>more of {0}</div><article>teaser</article><div>Foot</div>"
+    got = texts(spark, {f"http://h/{i}": page.format(i) for i in range(4)})
+    assert got == {f"http://h/{i}": f"body of {i}\nmore of {i}\nteaser" for i in range(4)}
