@@ -44,45 +44,71 @@ _BOILER_NAMES = frozenset(
     "breadcrumb breadcrumbs pagination pager comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal "
     "overlay widget toolbar masthead copyright legal disclaimer search skip".split()
 )
+_DENIALS = frozenset("no not non without with has hide hidden".split())
+_TALK = frozenset("comment comments disqus reply replies".split())
+_NEVER_BY_NAME = frozenset("html body main article".split())
+#: An element with this share of a page's text is its main part, whatever its class says.
+MAIN_SHARE = 0.75
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _OPENERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_boiler(tag: str, attributes: str) -> bool:
+    """By tag, role, or aria-hidden."""
     if tag in _BOILER_TAGS:
         return True
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         value, name = (a or b or c).lower(), name.lower()
-        if name == "role":
-            if value in _BOILER_ROLES:
-                return True
-        elif name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & _BOILER_NAMES or (not in_article and words & {"header", "footer"}):
-                return True
-        elif name == "aria-hidden" and value == "true":
+        if (name == "role" and value in _BOILER_ROLES) or (name == "aria-hidden" and value == "true"):
             return True
     return False
 
 
+def _share_to_lift(tag: str, attributes: str, in_article: bool) -> float:
+    """0 if no class or id names boilerplate; else the share of a page's text from which on such a name is not believed. Names that deny,
+    or tell what else is there (no-sidebar, with-sidebar), name nothing, and the page itself and its main parts are no boilerplate."""
+    share = 0.0
+    if tag in _NEVER_BY_NAME or "=" not in attributes:
+        return share
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).lower().split():
+                words = set(re.split(r"[^a-z]+", token))
+                if not words & _DENIALS and (words & _BOILER_NAMES or (not in_article and words & {"header", "footer"})):
+                    share = max(share, 1.0 if words & _TALK or words <= _BOILER_NAMES else MAIN_SHARE)
+    return share
+
+
+def _zone(stack, lifted=()) -> int:
+    """Of a line below these elements: (tag, boiler, article, number of one that is boilerplate by name)."""
+    boilers = [t for t, b, _, n in stack if b or (n is not None and n not in lifted)]
+    article = False
+    for _, b, a, n in stack:
+        if b or (n is not None and n not in lifted):
+            break
+        article = article or a
+    if boilers and article and any(t in _HEADINGS for t, *_ in stack) and all(t == "header" for t in boilers):
+        return ARTICLE  # the title of an article in its own header
+    return BOILER if boilers else ARTICLE if article else OPEN
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """The page's blocks of text in order, each with BOILER, ARTICLE (inside an article or main element) or OPEN.
 
     White space in a block is one space, character references are decoded, and blocks without text are left out. Elements
-    that are not closed end with what holds them; a page that breaks off ends there."""
-    out: list[tuple[str, int]] = []
+    that are not closed end with what holds them; a page that breaks off ends there. An element whose class or id names
+    boilerplate, but that holds MAIN_SHARE of the text outside other boilerplate (all of it, for comments and names in full), is none."""
+    out: list[tuple[str, int | tuple]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, article
+    stack: list[tuple[str, bool, bool, int | None]] = []  # tag, boiler, article, number of one that is boilerplate by name
+    shares: list[float] = []  # of those, in which they are not believed
 
     def flush():
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                boiler = any(b for _, b, _ in stack)
-                if boiler and stack and any(a for _, _, a in stack) and any(t in _HEADINGS for t, _, _ in stack):
-                    boiler = any(b and t != "header" for t, b, _ in stack)  # the title of an article in its own header
-                out.append((text, BOILER if boiler else ARTICLE if any(a for _, _, a in stack) else OPEN))
+                out.append((text, tuple(stack) if any(n is not None for *_, n in stack) else _zone(stack)))
 
     page = page or ""
     at, unclosed = 0, set()
@@ -122,17 +148,28 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             stack.pop()
         if (tag in _INLINE and tag != "span") or tag == "hr" or m[3].endswith("/"):
             continue
-        in_article = any(a for _, _, a in stack)
-        boiler = _is_boiler(tag, m[3], in_article)
-        if tag == "span" and not boiler and not any(t == "span" for t, _, _ in stack):
+        boiler = _is_boiler(tag, m[3])
+        main = tag in ("article", "main") or ("role" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3]) is not None)
+        share = 0.0 if boiler or main else _share_to_lift(tag, m[3], any(a for _, _, a, _ in stack))
+        if tag == "span" and not (boiler or share) and not any(t == "span" for t, *_ in stack):
             continue
-        if tag == "span" and boiler:
+        if tag == "span" and (boiler or share):
             flush()
-        article = tag in ("article", "main") or ("role" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3]) is not None)
-        article = article and not boiler and not any(b for _, b, _ in stack)
-        stack.append((tag, boiler, article))
+        if share:
+            shares.append(share)
+        stack.append((tag, boiler, main and not boiler, len(shares) - 1 if share else None))
     flush()
-    return out
+    if not shares:
+        return out
+    every = range(len(shares))
+    total, inside = 0, [0] * len(shares)
+    for text, zone in out:
+        if zone != BOILER and (not isinstance(zone, tuple) or _zone(zone, every) != BOILER):
+            total += len(text)
+            for n in {n for *_, n in zone if n is not None} if isinstance(zone, tuple) else ():
+                inside[n] += len(text)
+    lifted = {n for n in every if inside[n] and inside[n] >= shares[n] * total}
+    return [(text, _zone(zone, lifted) if isinstance(zone, tuple) else zone) for text, zone in out]
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:

@@ -24,3 +24,13 @@ def test_differencing_decides_outside_of_articles(spark):
     page = "<div>Site</div><div>body of {0}</div><div>more of {0}</div><article>teaser</article><div>Foot</div>"
     got = texts(spark, {f"http://h/{i}": page.format(i) for i in range(4)})
     assert got == {f"http://h/{i}": f"body of {i}\nmore of {i}\nteaser" for i in range(4)}
+
+
+def test_names_do_not_take_the_main_part():
+    text = "the text of the page " * 9
+    for start, end in (("<body class='single-post no-sidebar'>", ""), ("<div class='content-with-sidebar'>", "</div>"), ("<div class='layout has-banner'>", "</div>"), ("<div class='legal-article'>", "</div>"), ("<main id=search>", "</main>"), ("<div class=comments>", "</div>")):
+        assert (text.strip(), OPEN if "main" not in start else ARTICLE) in lines(f"{start}<p>{text}</p>{end}"), start
+        assert lines(f"{start}<nav>menu</nav><article><p>{text}</p><div class=sidebar>s</div></article>{end}") == [("menu", BOILER), (text.strip(), ARTICLE), ("s", BOILER)], start
+    page = f"<div class='cookie-notice'>ok</div><article>{text}</article><div class='comments'>{text * 9}</div><div class='related-posts'><article>r</article></div>"
+    assert [z for _, z in lines(page)] == [BOILER, ARTICLE, BOILER, BOILER]
+    assert [z for _, z in lines(f"<div class=legal-article>{text * 9}</div><article>teaser</article>")] == [OPEN, ARTICLE]
