@@ -8,6 +8,7 @@ adverts that differ from page to page would stay. So markup decides where it say
 and the like always go, and lines inside an article or main element always stay. See the README for figures.
 """
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -26,6 +27,8 @@ from patchlake.llm.url_filters import host_and_path
 BOILER, OPEN, ARTICLE = 0, 1, 2
 #: Pages with lines to delete, up to which their list is sent to every task; beyond it is joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: A page that shares more of its text with another is a copy of it.
+MOST_SHARED = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
@@ -224,22 +227,26 @@ def _pairs(keys: DataFrame) -> DataFrame:
 
 def shared_lines(df: DataFrame, url: str, page: str) -> DataFrame:
     """(key, deleted): for pages that share OPEN lines with the pages that they are paired with, the places of those lines. A page
-    of three is compared with both others. `key` is the hash of url and html, so that repeated rows are one page."""
+    of three is compared with both others. Pages of a host that have the same lines are one page here, at the first of their paths. `key` is the hash of url and html, so that repeated rows are one page."""
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = df.select(_key(url, page).alias("key"), host.alias("host"), path.alias("path"), F.col(f"`{page}`").cast("string").alias("page"))
-    schema = "key binary, host string, path string, hashes array<long>, open array<int>"
+    schema = "key binary, host string, path string, same binary, hashes array<long>, sizes array<int>, open array<int>"
 
     def cut(batches):
         for batch in batches:
             cuts = [lines(p) for p in batch["page"].to_pylist()]
+            hashes = [[xxh64_intdigest(t) - (1 << 63) for t, _ in c] for c in cuts]
+            same = [hashlib.blake2b(np.array([h, [z for _, z in c]], "<i8").tobytes(), digest_size=16).digest() for h, c in zip(hashes, cuts)]
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], batch["host"], batch["path"], pa.array([[xxh64_intdigest(t) - (1 << 63) for t, _ in c] for c in cuts], pa.list_(pa.int64())),
+                [batch["key"], batch["host"], batch["path"], pa.array(same, pa.binary()), pa.array(hashes, pa.list_(pa.int64())),
+                 pa.array([[0 if z == BOILER else len(t) for t, z in c] for c in cuts], pa.list_(pa.int32())),
                  pa.array([[i for i, (_, z) in enumerate(c) if z == OPEN] for c in cuts], pa.list_(pa.int32()))],
-                names=["key", "host", "path", "hashes", "open"],
+                names=["key", "host", "path", "same", "hashes", "sizes", "open"],
             )
 
     marked = kept(rows.where("host <> ''").mapInArrow(cut, schema).dropDuplicates(["key"]))
-    paired = marked.join(_pairs(marked.select("key", "host", "path")).select("key", "pair"), "key")
+    first = marked.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "first.path", "first.key")
+    paired = marked.join(_pairs(first).select("key", "pair"), "key")
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -250,21 +257,31 @@ def shared_lines(df: DataFrame, url: str, page: str) -> DataFrame:
                     out += _differences(held)
                     held = []
                 held.append(row)
-            yield pd.DataFrame(out, columns=["key", "deleted"])
-        yield pd.DataFrame(_differences(held), columns=["key", "deleted"])
+            yield pd.DataFrame(out, columns=["host", "same", "deleted"])
+        yield pd.DataFrame(_differences(held), columns=["host", "same", "deleted"])
 
     dealt = paired.repartition("host", "pair").sortWithinPartitions("host", "pair", "path", "key")
-    return dealt.mapInPandas(differ, "key binary, deleted array<int>")
+    deleted = kept(dealt.mapInPandas(differ, "host string, same binary, deleted array<int>"))
+    if deleted.count() <= MOST_BROADCAST:
+        deleted = F.broadcast(deleted)
+    return marked.select("key", "host", "same").join(deleted, ["host", "same"]).select("key", "deleted")
 
 
-def _differences(pages: list) -> list[tuple[bytes, list[int]]]:
+def _differences(pages: list) -> list[tuple[str, bytes, list[int]]]:
+    """What a page shares with one other is not deleted where that is nearly all of its text: then it is a copy, and not the site."""
+    free = [set(p.open) for p in pages]
     gone = [set() for _ in pages]
+
+    def nearly_all(k: int, places: set[int]) -> bool:
+        return sum(int(pages[k].sizes[i]) for i in places) > MOST_SHARED * sum(map(int, pages[k].sizes))
+
     for i in range(len(pages)):
         for j in range(i + 1, len(pages)):
             for k, places in zip((i, j), common_lines(list(pages[i].hashes), list(pages[j].hashes))):
-                gone[k].update(places)
-    found = [(p.key, sorted(g & set(p.open))) for p, g in zip(pages, gone)]
-    return [(bytes(k), g) for k, g in found if g]
+                own = free[k].intersection(places)
+                if not nearly_all(k, own):
+                    gone[k] |= own
+    return [(p.host, bytes(p.same), sorted(g)) for k, (p, g) in enumerate(zip(pages, gone)) if g and not nearly_all(k, g)]
 
 
 def _key(url: str, page: str):

@@ -34,3 +34,13 @@ def test_names_do_not_take_the_main_part():
     page = f"<div class='cookie-notice'>ok</div><article>{text}</article><div class='comments'>{text * 9}</div><div class='related-posts'><article>r</article></div>"
     assert [z for _, z in lines(page)] == [BOILER, ARTICLE, BOILER, BOILER]
     assert [z for _, z in lines(f"<div class=legal-article>{text * 9}</div><article>teaser</article>")] == [OPEN, ARTICLE]
+
+
+def test_copies_keep_their_text(spark):
+    page, body = "<div>Site</div><div>{}</div><div>Foot</div>", ["text a " * 20, "text b " * 20, "text c " * 20]
+    pages = {f"http://h/a?{q}": page.format(body[0]) for q in range(4)} | {"http://h/b": page.format(body[1]), "http://h/b2": page.format(body[1])}
+    got = texts(spark, pages | {"http://one/a": page.format(body[2]), "http://one/b": page.format(body[2]), "http://near/a": page.format(body[2]), "http://near/b": page.format(body[2]) + "<p>at noon"})
+    assert got == (
+        {u: body[0 if "/a" in u else 1].strip() for u in pages} | {f"http://{x}": f"Site\n{body[2].strip()}\nFoot" for x in ("one/a", "one/b", "near/a")}
+        | {"http://near/b": f"Site\n{body[2].strip()}\nFoot\nat noon"}
+    )
