@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Texts without any of these words hold no known sentence and are not cut up. Every known sentence has one.
+#: Words of known sentences; the SQL looks at texts with one of them only. References such as "under mit" have none.
 KEYWORDS = "licen|copyright|warrant|permission|redistribution|public domain|liable|endorse"
+#: Texts that this does not find in hold no known sentence and are not cut up. Every known sentence has it, in any writing.
+LIKELY = "(?i)" + KEYWORDS.replace(" ", "[^a-z0-9.]+") + "|(?<![a-z0-9.])under(?![a-z0-9.])"
 
 # The wording of published licences, normalised.
 _SENTENCES = {
@@ -138,8 +140,8 @@ def scanned(df: DataFrame, text: str, out_ids: str = "sentence_ids", out: str =
 
     body = F.col(f"`{text}`").cast("string")
     ends = F.regexp_replace(F.regexp_replace(body, r"([.!?;:])[ \t\n\r\f\x0B]+", "$1\n\n"), r"\n[ \t\r]*\n", "\x00")
-    likely = F.filter(F.split(ends, "\x00"), lambda s: F.rlike(s, F.lit(f"(?i){KEYWORDS}")))
-    ids = F.when(F.rlike(body, F.lit(f"(?i){KEYWORDS}")), F.flatten(F.transform(likely, in_sentence)))
+    likely = F.filter(F.split(ends, "\x00"), lambda s: F.rlike(s, F.lit(LIKELY)))
+    ids = F.when(F.rlike(body, F.lit(LIKELY)), F.flatten(F.transform(likely, in_sentence)))
     ids = F.coalesce(ids, F.array().cast("array<string>"))
     begin = F.struct(F.lit("").alias("seq"), F.array().cast("array<string>").alias("found"))
 
