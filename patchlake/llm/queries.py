@@ -1,11 +1,12 @@
 """Named queries of these operators, each over its whole table."""
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlake.llm import best_fit_packing, decontamination, html_extraction, license_scans, ngram_join, pii, quality_rules, sharding, token_files, url_filters
+from patchlake.llm import best_fit_packing, decontamination, html_extraction, license_scans, ngram_join, pii, quality_rules, sharding, spelling, substring_dedup, token_files, url_filters, whitening
 from patchlake.llm.shared import kept
 
 #: Key of the surrogates in these queries. A real run takes its own from outside.
@@ -80,6 +81,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("matches"))
 
 
+def slips(doc_id: int | None) -> Callable[[str], str]:
+    """Spelling slips of one document, a null id counting as an empty one: of each run of letters one letter goes where 31 divides its checksum."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def slip(word: str) -> str:
+        h = zlib.crc32(word.encode(), start)
+        at = h % len(word)
+        return word if h % 31 else word[:at] + word[at + 1 :]
+
+    return slip
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", least_length=7, least_count=2, change=slips)
+    return spelling.variants(words, ratio=10)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whitened(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    return white.withColumnRenamed("key", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.deduplicated(_table(spark, sf_dir, "documents"), "doc_id", "text", window=20)
+    return left.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_html_extraction, op3_best_fit_packing, op4_license_scans, op5_token_ids, op6_quality_rules, op7_sharding,
-        op8_ngram_jaccard_join, op9_pii, op10_decontamination, pipeline,
+        op8_ngram_jaccard_join, op9_pii, op10_decontamination, op11_spelling_variants, op12_embedding_whitening, op13_substring_dedup, pipeline,
     )
 }

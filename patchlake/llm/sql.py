@@ -80,8 +80,23 @@ from sets s join reach r on r.n = s.n join sets t on t.n = r.y
 group by s.n, s.doc_id, s.s
 """
 
+SUBSTRING_DEDUP = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select doc_id, w, unnest(range(0, len(w) - 19)) as start from texts where len(w) >= 20),
+windows as (select doc_id, start, array_to_string(w[start + 1 : start + 20], ' ') as s from places),
+judged as (select doc_id, start, min({'d': doc_id, 's': start}) over (partition by s) as source from windows),
+covered as (select distinct doc_id, start + unnest(range(20)) as place from judged where {'d': doc_id, 's': start} > source),
+words as (select doc_id, unnest(range(0, len(w))) as place, unnest(w) as word from texts),
+left_over as (
+  select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n
+  from words anti join covered using (doc_id, place) group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts t left join left_over l on l.doc_id = t.doc_id
+"""
+
 SQL = {
     "op1_url_filters": URL_FILTERS,
     "op4_license_scans": _license_scans(),
     "op8_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+    "op13_substring_dedup": SUBSTRING_DEDUP,
 }
