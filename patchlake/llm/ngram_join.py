@@ -10,8 +10,9 @@ n - ceil(t n) + 1 of each. The order is by how many documents hold a token, comm
 that are frequent in some part of the input. Any order gives the same links, this one makes few candidates.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,21 @@ from patchlake.llm.shingles import fingerprint, shingle_sets
 FREQUENT_TOKENS = 500_000
 #: Nodes in a group, at most about; so many sets, twice, are held by a task.
 GROUP_SIZE = 64
-_SLAB = 3_000_000  # tokens that a task counts at once
+_SLAB = 400_000  # tokens that a task counts at once
+_SLICE = 256  # texts that a task cuts into sets at once
 #: Nodes whose sets are compared, up to which their list is sent to all tasks; beyond it is joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """A task's rows, few at a time: what is made of a batch's texts is many times as large as they are.
+    Memory that is let go is given back, as workers live on for other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 def _sets_and_counts(df: DataFrame, words: int) -> DataFrame:
     """(key, n, fp) of each row; and (token, rows) of tokens that many rows of a slab hold."""
 
@@ -42,7 +53,7 @@ def _sets_and_counts(df: DataFrame, words: int) -> DataFrame:
             none = [None] * int(some.sum())
             return pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 2 + [pa.array(none, pa.binary()), pa.array(token[some].view(np.int64)), pa.array(n[some].astype(np.int64))], schema=schema)
 
-        for batch in batches:
+        for batch in _slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             prints = [fingerprint(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             none = pa.nulls(batch.num_rows, pa.int64())
@@ -64,7 +75,7 @@ def _leading(df: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
 
     def run(batches):
         token, rows = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             found = np.minimum(np.searchsorted(token, values), max(len(token) - 1, 0))
             count = np.where(token[found] == values, rows[found], 0) if len(token) else np.zeros(len(values), np.int64)
@@ -107,7 +118,7 @@ def _held(wanted: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> Dat
     texts = df.join(side, F.col("key").eqNullSafe(F.col("_key"))).select("node", "fp", "text")
 
     def sets(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             own = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
             # rows of one key may have other texts
@@ -147,7 +158,7 @@ def _linked_groups(opened: DataFrame, members: DataFrame, nodes: DataFrame, df:
     inside = sides.join(members.select("node", "grp", "component"), "grp").select("ga", "gb", "grp", "node", "component")
     rows = inside.join(_held(inside.select("node").distinct(), nodes, df, words), "node").select("ga", "gb", "grp", "node", "component", "held")
 
-    def compare(held: list) -> list[tuple[int, int]]:
+    def compare(inside: bool, held: list) -> list[tuple[int, int]]:
         root = {c: c for *_, c, _ in held}
 
         def find(c):
@@ -156,28 +167,35 @@ def _linked_groups(opened: DataFrame, members: DataFrame, nodes: DataFrame, df:
             return c
 
         found = []
-        sets = [(g, node, c, np.frombuffer(h, np.uint64)) for _, g, node, c, h in held]
+        sets = [(g, node, c, np.frombuffer(h, np.uint64)) for g, node, c, h in held]
         for i, (g, node, c, x) in enumerate(sets):
             for h, other, d, y in sets[i + 1 :]:
-                if (g == h) == (held[0][0][0] == held[0][0][1]) and (u := find(c)) != (v := find(d)) and _links(percent, x, y):
+                if (g == h) == inside and (u := find(c)) != (v := find(d)) and _links(percent, x, y):
                     root[u] = v
                     found.append((node, other))
         return found
 
     def run(batches):
-        held: list = []
+        pa.set_memory_pool(pa.system_memory_pool())
+        pair, held = None, []  # one pair of groups at a time; sets stay where they arrived
+
+        def links(pair, held):
+            found = compare(pair[0] == pair[1], held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if held and held[0][0] != (row.ga, row.gb):
-                    out += compare(held)
-                    held = []
-                held.append(((row.ga, row.gb), row.grp, row.node, row.component, row.held))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            keys = [batch[c].to_pylist() for c in ("ga", "gb", "grp", "node", "component")]
+            for k, (ga, gb, grp, node, component) in enumerate(zip(*keys)):
+                if (ga, gb) != pair:
+                    if held:
+                        yield links(pair, held)
+                    pair, held = (ga, gb), []
+                held.append((grp, node, component, batch["held"][k].as_buffer()))
+            held = [(g, n, c, h.to_pybytes() if isinstance(h, pa.Buffer) else h) for g, n, c, h in held]  # the batch itself goes
         if held:
-            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
+            yield links(pair, held)
 
-    return kept(rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "grp", "node").mapInPandas(run, "a long, b long"))
+    return kept(rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "grp", "node").mapInArrow(run, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
