@@ -10,8 +10,9 @@ and the like always go, and lines inside an article or main element always stay.
 
 import hashlib
 import html
+import math
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,12 @@ MOST_BROADCAST = 100_000
 MOST_SHARED = 0.9
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    # a tag ends before the next "<" outside of quotes, so that a page of tags that are never closed is read once
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*>|[^<]+|<",
     re.S | re.I,
 )
 #: Elements whose content is no text of the page. Of those that are never closed only some run to the end of the page.
-_SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript template iframe svg textarea select object math canvas title".split()}
+_SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*>", re.I) for t in "script style noscript template iframe svg textarea select object math canvas title".split()}
 _TO_THE_END = frozenset("script style textarea title".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -82,17 +84,43 @@ def _share_to_lift(tag: str, attributes: str, in_article: bool) -> float:
     return share
 
 
-def _zone(stack, lifted=()) -> int:
-    """Of a line below these elements: (tag, boiler, article, number of one that is boilerplate by name)."""
-    boilers = [t for t, b, _, n in stack if b or (n is not None and n not in lifted)]
-    article = False
-    for _, b, a, n in stack:
-        if b or (n is not None and n not in lifted):
-            break
-        article = article or a
-    if boilers and article and any(t in _HEADINGS for t, *_ in stack) and all(t == "header" for t in boilers):
-        return ARTICLE  # the title of an article in its own header
-    return BOILER if boilers else ARTICLE if article else OPEN
+class _Tree:
+    """The elements of a page that lines can be in; each is told by a number and knows the one that holds it."""
+
+    def __init__(self):
+        self.held_by: list[int] = [-1]
+        self.tag: list[str] = [""]
+        self.boiler: list[bool] = [False]
+        self.article: list[bool] = [False]
+        self.in_article: list[bool] = [False]
+        self.named: list[int | None] = [None]  # number of one that is boilerplate by name
+
+    def add(self, inside: int, tag: str, boiler: bool, article: bool, named: int | None) -> int:
+        self.held_by.append(inside)
+        self.tag.append(tag)
+        self.boiler.append(boiler)
+        self.article.append(article)
+        self.in_article.append(article or self.in_article[inside])
+        self.named.append(named)
+        return len(self.tag) - 1
+
+    def zones(self, lifted=()) -> list[int]:
+        """Of the lines right in each element. Names whose numbers are in `lifted` count for nothing."""
+        state = [(False, True, False, False)]  # any boilerplate, headers only, an article outside of it, a heading
+        zones = [OPEN]
+        for k in range(1, len(self.tag)):
+            any_boiler, headers, article, heading = state[self.held_by[k]]
+            if self.boiler[k] or (self.named[k] is not None and self.named[k] not in lifted):
+                any_boiler, headers = True, headers and self.tag[k] == "header"
+            elif not any_boiler:
+                article = article or self.article[k]
+            heading = heading or self.tag[k] in _HEADINGS
+            state.append((any_boiler, headers, article, heading))
+            if any_boiler and article and heading and headers:
+                zones.append(ARTICLE)  # the title of an article in its own header
+            else:
+                zones.append(BOILER if any_boiler else ARTICLE if article else OPEN)
+        return zones
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -100,18 +128,24 @@ def lines(page: str | None) -> list[tuple[str, int]]:
 
     White space in a block is one space, character references are decoded, and blocks without text are left out. Elements
     that are not closed end with what holds them; a page that breaks off ends there. An element whose class or id names
-    boilerplate, but that holds MAIN_SHARE of the text outside other boilerplate (all of it, for comments and names in full), is none."""
-    out: list[tuple[str, int | tuple]] = []
+    boilerplate, but that holds MAIN_SHARE of the text outside other boilerplate (all of it, for comments and names in full), is none.
+    The time grows with the page's length, however deep or broken its markup is."""
+    out: list[tuple[str, int]] = []  # text, element
     held: list[str] = []
-    stack: list[tuple[str, bool, bool, int | None]] = []  # tag, boiler, article, number of one that is boilerplate by name
-    shares: list[float] = []  # of those, in which they are not believed
+    tree = _Tree()
+    stack: list[int] = [0]
+    open_tags: Counter = Counter()
+    shares: list[float] = []  # of elements named like boilerplate, in which the name is not believed
 
     def flush():
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, tuple(stack) if any(n is not None for *_, n in stack) else _zone(stack)))
+                out.append((text, stack[-1]))
+
+    def pop():
+        open_tags[tree.tag[stack.pop()]] -= 1
 
     page = page or ""
     at, unclosed = 0, set()
@@ -140,72 +174,107 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if tag not in _INLINE:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_tags[tag]:
+                last = tree.tag[stack[-1]]
+                pop()
+                if last == tag:
                     break
             continue
-        if tag in _OPENERS and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+        if tag in _OPENERS and tree.tag[stack[-1]] == "p":
+            pop()
+        if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and tree.tag[stack[-1]] == tag:
+            pop()
         if (tag in _INLINE and tag != "span") or tag == "hr" or m[3].endswith("/"):
             continue
         boiler = _is_boiler(tag, m[3])
         main = tag in ("article", "main") or ("role" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3]) is not None)
-        share = 0.0 if boiler or main else _share_to_lift(tag, m[3], any(a for _, _, a, _ in stack))
-        if tag == "span" and not (boiler or share) and not any(t == "span" for t, *_ in stack):
+        share = 0.0 if boiler or main else _share_to_lift(tag, m[3], tree.in_article[stack[-1]])
+        if tag == "span" and not (boiler or share) and not open_tags["span"]:
             continue
         if tag == "span" and (boiler or share):
             flush()
         if share:
             shares.append(share)
-        stack.append((tag, boiler, main and not boiler, len(shares) - 1 if share else None))
+        stack.append(tree.add(stack[-1], tag, boiler, main and not boiler, len(shares) - 1 if share else None))
+        open_tags[tag] += 1
     flush()
-    if not shares:
-        return out
-    every = range(len(shares))
-    total, inside = 0, [0] * len(shares)
-    for text, zone in out:
-        if zone != BOILER and (not isinstance(zone, tuple) or _zone(zone, every) != BOILER):
-            total += len(text)
-            for n in {n for *_, n in zone if n is not None} if isinstance(zone, tuple) else ():
-                inside[n] += len(text)
-    lifted = {n for n in every if inside[n] and inside[n] >= shares[n] * total}
-    return [(text, _zone(zone, lifted) if isinstance(zone, tuple) else zone) for text, zone in out]
+    if shares:
+        believed = tree.zones(range(len(shares)))
+        size = [0] * len(tree.tag)
+        for text, k in out:
+            if believed[k] != BOILER:
+                size[k] += len(text)
+        for k in range(len(size) - 1, 0, -1):
+            size[tree.held_by[k]] += size[k]
+        inside = [0] * len(shares)
+        for k, n in enumerate(tree.named):
+            if n is not None:
+                inside[n] = size[k]
+        zones = tree.zones({n for n, share in enumerate(shares) if inside[n] and inside[n] >= share * size[0]})
+    else:
+        zones = tree.zones()
+    return [(text, zones[k]) for text, k in out]
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Places in a and in b of a longest common subsequence (Hunt and Szymanski, after common ends are taken off)."""
+    """Places in a and in b of a longest common subsequence.
+
+    After common ends are taken off, a row of the table of lengths is one number with a bit per line of b (Hyyrö's method), so the time
+    does not depend on how many lines are equal. Rows are kept at every so many lines only, and those between are made again on the way back."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
     high = 0
     while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
         high += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - high - 1, low - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chain: list[tuple | None] = []
-    for i in range(low, len(a) - high):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, j, chain[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chain.append(link)
-            else:
-                ends[k], chain[k] = j, link
-    pairs, link = [], chain[-1] if chain else None
-    while link:
-        pairs.append(link[:2])
-        link = link[2]
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    marks: dict[int, bytearray] = {}
+    wanted = set(x)
+    for j, line in enumerate(y):
+        if line in wanted:
+            marks.setdefault(line, bytearray(len(y) // 8 + 1))[j >> 3] |= 1 << (j & 7)
+    bits = {line: int.from_bytes(m, "little") for line, m in marks.items()}
+    full = (1 << len(y)) - 1
+
+    def after(row: int, line: int) -> int:
+        met = row & bits.get(line, 0)
+        return ((row + met) | (row - met)) & full
+
+    step = math.isqrt(len(x)) + 1
+    rows = [full]
+    row = full
+    for i, line in enumerate(x if bits else (), 1):
+        row = after(row, line)
+        if i % step == 0:
+            rows.append(row)
+    pairs: list[tuple[int, int]] = []
+    i, j = (len(x), len(y)) if bits else (0, 0)
+    block: list[bytes] = []
+    first = -1  # the row that `block` begins with
+
+    def is_set(r: int, c: int) -> int:
+        return block[r - first][c >> 3] >> (c & 7) & 1
+
+    while i and j:
+        if first < 0 or i - 1 < first:
+            first = (i - 1) // step * step
+            row = rows[first // step]
+            block = [row.to_bytes(len(y) // 8 + 1, "little")]
+            for line in x[first:i]:
+                row = after(row, line)
+                block.append(row.to_bytes(len(y) // 8 + 1, "little"))
+        if is_set(i, j - 1):
+            j -= 1
+        elif not is_set(i - 1, j - 1):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
     pairs.reverse()
     tail = range(high, 0, -1)
     return (
-        [*range(low), *(i for i, _ in pairs), *(len(a) - t for t in tail)],
-        [*range(low), *(j for _, j in pairs), *(len(b) - t for t in tail)],
+        [*range(low), *(low + i for i, _ in pairs), *(len(a) - t for t in tail)],
+        [*range(low), *(low + j for _, j in pairs), *(len(b) - t for t in tail)],
     )
 
 
