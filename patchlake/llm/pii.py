@@ -31,7 +31,8 @@ _ON = r" (?![0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}(?:
 
 # Kind -> pattern. Borders keep every pattern from being tried again inside a long word.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
+    # no repeated group here: the engine would go one call deeper with each label of a domain
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-]\.[A-Za-z]{2,63})(?![A-Za-z])",
     "secret": r"(?<=(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}+"
     r"|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
