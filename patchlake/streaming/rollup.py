@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from patchlake.functions import tags
+from patchlake.sources import windows_table
 
 
 def windowed(rows: DataFrame, width: str, late_by: str, by: str | None = None) -> DataFrame:
@@ -28,3 +29,24 @@ def write_final(rolled: DataFrame, path: str, checkpoint: str, once: bool = Fals
     """Append every window to parquet when it is final. With `once`, take what is there and stop."""
     writer = rolled.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def write_current(
+    rolled: DataFrame, path: str, checkpoint: str, keys: list[str], merge_every: int = 24, once: bool = False
+) -> StreamingQuery:
+    """Put every window into the table of windows whenever it changes, the newest ones too, long before they are final.
+
+    `keys` tell windows apart: bucket, metric_name and the tag. Each batch brings the whole state of the windows that it has changed, so
+    the table (windows_table.current) has what a rollup of all rows so far gives. A batch that runs again after a failure replaces
+    what it wrote. Every `merge_every` batches the days that the last one changed are brought together.
+    """
+
+    def put(changed: DataFrame, batch: int) -> None:
+        if changed.isEmpty():
+            return
+        windows_table.put(changed, path, batch)
+        if (batch + 1) % merge_every == 0:
+            windows_table.merge(changed.sparkSession, path, keys, batch)
+
+    writer = rolled.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
