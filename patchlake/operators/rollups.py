@@ -26,9 +26,13 @@ class Series:
         found = F.col("metric_name") == self.metric
         return found & tags.has(F.col("tags"), *self.tag) if self.tag else found
 
-    def column(self) -> Column:
-        value = F.when(self.matches(), F.col("value"))
-        return F.sum(value) if self.agg == "sum" else F.avg(value)
+    def column(self, rows: DataFrame) -> Column:
+        """Over points, or over states of points (partials.hourly), which have their total and number."""
+        if "total" not in rows.columns:
+            value = F.when(self.matches(), F.col("value"))
+            return F.sum(value) if self.agg == "sum" else F.avg(value)
+        total, n = (F.sum(F.when(self.matches(), F.col(c))) for c in ("total", "n"))
+        return total if self.agg == "sum" else F.when(n > 0, total / n)
 
 
 def select_rows(rows: DataFrame, repo: str = "*", env: str = "*") -> DataFrame:
@@ -50,20 +54,20 @@ def _of_metrics(rows: DataFrame, series: dict[str, Series]) -> DataFrame:
 
 def scalars(rows: DataFrame, **series: Series) -> DataFrame:
     """One row with a number per series, from one scan."""
-    return _of_metrics(rows, series).agg(*[one.column().alias(name) for name, one in series.items()])
+    return _of_metrics(rows, series).agg(*[one.column(rows).alias(name) for name, one in series.items()])
 
 
 def over_time(rows: DataFrame, width: str, by: str | None = None, **series: Series) -> DataFrame:
     """One row per time bucket, and per value of the tag `by`; several series share the scan.
 
-    Rows without the tag make a group of their own, with a null value.
+    Rows without the tag make a group of their own, with a null value. Over states the width is a whole number of theirs.
     """
     rows = _of_metrics(rows, series)
     keys = [F.window("timestamp", width).alias("_window")]
     if by:
         rows = rows.withColumn(by, tags.value_of(F.col("tags"), by))
         keys.append(F.col(by))
-    grouped = rows.groupBy(*keys).agg(*[one.column().alias(name) for name, one in series.items()])
+    grouped = rows.groupBy(*keys).agg(*[one.column(rows).alias(name) for name, one in series.items()])
     return grouped.select(F.col("_window.start").alias("bucket"), *([by] if by else []), *series)
 
 

@@ -1,12 +1,13 @@
 """The widgets of the observability dashboard, each a function of stored metric rows.
 
-Time series take the bucket width. Rates are null where no review was counted.
+Time series take the bucket width. Rates are null where no review was counted. Rows are points, or states of points (operators/partials).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlake.operators.rollups import Series, displayed, over_time, running_total, scalars
+from patchlake.operators.rollups import Series, displayed, over_time, running_total, scalars, select_rows
+from patchlake.sources import points_table
 
 DAY = "1 day"
 REVIEWS = Series("sum", "llm.reviews.total")
@@ -146,3 +147,12 @@ WIDGETS = {
         embedding_calls, security_by_type, error_rate, files_changed, lines_changed,
     )
 }
+
+
+def stored_widget(
+    name: str, spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None, repo: str = "*", env: str = "*", **more
+) -> DataFrame:
+    """A widget over a stored table of points or of their states, for a range of days, a repository and an environment.
+
+    Folders of other days are not read, nor files and row groups that lack the widget's metrics. `more` goes to the widget: the width of a series."""
+    return WIDGETS[name](select_rows(points_table.read(spark, path, first_day, last_day), repo, env), **more)
