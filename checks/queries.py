@@ -13,10 +13,11 @@ from checks import corpora
 from patchlake.functions import tags, text
 from patchlake.functions.frames import saved
 from patchlake.operators import (
-    answers, batches, chunks, context, definitions, deliveries, diffs, imports, nearest, points, reviews, rollups, scan, skew,
+    answers, batches, chunks, context, definitions, deliveries, diffs, import_graph, imports, nearest, partials, points, reviews, rollups,
+    scan, skew,
 )
 from patchlake.plans import dashboard, indexing, review
-from patchlake.sources import files, landed, points_table
+from patchlake.sources import files, landed, points_table, windows_table
 from patchlake.streaming import deliveries as delivery_stream
 from patchlake.streaming import rollup as rollup_stream
 
@@ -146,6 +147,42 @@ def stored_points_by_day(spark, sf):
     return _stable(counted.agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
+def _states(spark, sf):
+    """States of all points by the hour, appended to a table as points are."""
+    path = f"{scratch(spark)}/states"
+    points_table.append(partials.hourly(corpora.rows(spark, sf)), path)
+    return path
+
+
+def rollup_from_states(spark, sf):
+    """The rollup by type from stored states, without the percentiles, which are checked by state_percentiles."""
+    states = points_table.read(spark, _states(spark, sf)).withColumn("repo", tags.value_of(F.col("tags"), "repo"))
+    return _stable(partials.by_type(states, ["repo"], "1 day").drop("p50", "p95"))
+
+
+def state_percentiles(spark, sf):
+    """Whether the percentiles of the sketches are within the stated share of ranks of the points, by metric and day."""
+    states = points_table.read(spark, _states(spark, sf)).where("metric_type = 'histogram'")
+    made = partials.by_type(states, [], "1 day").select("metric_name", "bucket", "p50", "p95")
+    rows = corpora.rows(spark, sf).where("metric_type = 'histogram'").withColumn("bucket", F.window("timestamp", "1 day")["start"])
+
+    def fits(name, share):
+        below, upto = (F.avg(F.when(x, 1).otherwise(0)) for x in (F.col("value") < F.col(name), F.col("value") <= F.col(name)))
+        return ((below <= share + partials.RANK_ERROR) & (upto >= share - partials.RANK_ERROR)).alias(f"{name}_fits")
+
+    return rows.join(made, ["metric_name", "bucket"]).groupBy("metric_name", "bucket").agg(F.count("*").alias("n"), fits("p50", 0.5), fits("p95", 0.95))
+
+
+RANGE = ("2024-01-10", "2024-01-19")
+
+
+def _stored_widget(name, **chosen):
+    def query(spark, sf):
+        return _stable(dashboard.stored_widget(name, spark, _states(spark, sf), *RANGE, **chosen))
+
+    return query
+
+
 def rollup_by_type(spark, sf):
     rows = corpora.rows(spark, sf).withColumn("repo", tags.value_of(F.col("tags"), "repo"))
     return _stable(rollups.by_type(rows, ["repo"], "1 day"))
@@ -203,6 +240,20 @@ def imports_by_type(spark, sf):
     return _by_type(spark, sf).withColumns(joined)
 
 
+def import_edges(spark, sf):
+    return import_graph.import_edges(corpora.linked_files(spark, sf), ["repo"])
+
+
+def reverse_imports(spark, sf):
+    return import_graph.importers(import_edges(spark, sf), ["repo"])
+
+
+def affected_files(spark, sf):
+    """What a change of every fiftieth file reaches."""
+    changed = corpora.linked_files(spark, sf).where("doc_id % 50 = 0").select("repo", "file_path")
+    return import_graph.affected_files(import_edges(spark, sf), changed, ["repo"], scratch(spark))
+
+
 def definition_rows(spark, sf):
     return definitions.definition_rows(corpora.code_files(spark, sf), FILE)
 
@@ -535,6 +586,16 @@ def stream_rollup(spark, sf):
     return _stable(spark.read.schema(rolled.schema).parquet(f"{path}/out")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+def stream_rollup_current(spark, sf):
+    """All windows as they stand, final or not."""
+    path, keys = scratch(spark), ["bucket", "metric_name", "repo"]
+    rows = points.metric_rows(corpora.points_of(_event_stream(spark, sf)), at=F.col("ts"))
+    rolled = rollup_stream.windowed(rows, "1 day", "2 days", by="repo")
+    rollup_stream.write_current(rolled, f"{path}/out", f"{path}/checkpoint", keys, merge_every=1, once=True).awaitTermination()
+    made = windows_table.current(spark, f"{path}/out", keys).drop("day")
+    return _stable(made).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 def stream_deliveries(spark, sf):
     path = scratch(spark)
     arriving = corpora.deliveries_of(_event_stream(spark, sf))
@@ -548,8 +609,9 @@ QUERIES = {
         security_by_type, security_issues_documents, security_issues_pages, security_issues_conversations,
         security_issues_patches, secrets, personal_data, prompt_injection, security_events, request_security_events,
         points_review, points_security, points_error, points_indexing, points_retrieval, points_embedding, metric_rows,
-        metric_rows_selected, metric_rows_with_tag, stored_points_by_day, rollup_by_type, file_filter, decoded_files, local_modules,
-        classified_imports, imports_by_type, definition_rows, file_summaries, chunks_function, chunks_code, chunks_fixed,
+        metric_rows_selected, metric_rows_with_tag, stored_points_by_day, rollup_by_type, rollup_from_states, state_percentiles, file_filter, decoded_files, local_modules,
+        classified_imports, imports_by_type, import_edges, reverse_imports,
+        affected_files, definition_rows, file_summaries, chunks_function, chunks_code, chunks_fixed,
         chunk_numbers, file_to_chunks, embedding_texts, token_estimates, truncated_texts, token_batches,
         normalized_vectors, nearest_vectors, nearest_vectors_other_file, embedded_chunks, similar_chunks, related_chunks,
         query_texts, context_texts, retrieval_stats, chunks_by_name, diff_lines, answer_lines, comments_on_diff,
@@ -557,6 +619,10 @@ QUERIES = {
         fallback_bodies, file_prompts, request_prompts, request_records, generated_answers, pr_review_points,
         pr_review_all_points, pr_review_comments, pr_review_bodies, request_points, repository_index,
         deliveries_routed, deliveries_routed_unsigned, deliveries_projected, signatures, landed_file_lists,
-        landed_contents, stream_rollup, stream_deliveries,
+        landed_contents, stream_rollup, stream_rollup_current, stream_deliveries,
     )
 } | {f"dash_{name}": _widget(name) for name in dashboard.WIDGETS}
+
+#: Widgets over the stored states of ten days: a number, a series, one by a tag, a running total, and one of a repository.
+STORED = {"avg_cost": {}, "error_rate": {}, "security_by_type": {}, "cumulative_cost_by_repo": {}, "generation_time": {"repo": "org/r3", "env": "production"}}
+QUERIES |= {f"stored_{name}": _stored_widget(name, **chosen) for name, chosen in STORED.items()}

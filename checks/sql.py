@@ -485,6 +485,27 @@ def _stable(body: str, *columns: str) -> str:
 
 _BODIES["stored_points_by_day"] = _stable("""select strftime(ts, '%Y-%m-%d') event_date, metric metric_name, count(*) n, sum(value) total from points
     where repo = 'org/r3' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1, 2""", "total")
+_BODIES["rollup_from_states"] = "select * exclude (p50, p95) from (" + _BODIES["rollup_by_type"] + ")"
+_BODIES["state_percentiles"] = """select metric metric_name, time_bucket(interval '1 day', ts) bucket, count(*) n, true p50_fits, true p95_fits
+    from points where "type" = 'histogram' group by 1, 2"""
+_BODIES["stream_rollup_current"] = "select time_bucket(interval '1 day', ts) bucket, metric metric_name, repo, count(*) n, sum(value) total from points group by 1, 2, 3"
+_LINKED = """linked as (select doc_id, 'org/g' || (doc_id % 3) repo, ['src', 'src/core', 'lib', 'app'][(doc_id // 3) % 4 + 1] folder, n_chars from documents),
+    asked as (select doc_id, repo, folder, j, abs(doc_id + 3 * ((n_chars * (j + 1)) % 41 - 20)) k from linked, range(4) r(j)),
+    edges as (select distinct a.repo, a.folder || '/m' || a.doc_id || '.py' source, t.folder || '/m' || k || '.py' target,
+        case j when 0 then replace(t.folder, '/', '.') || '.' when 1 then '' when 2 then '.' else '..core.' end || 'm' || k raw_import
+        from asked a join linked t on t.doc_id = k and t.repo = a.repo
+        where k <> a.doc_id and (j < 2 or j = 2 and t.folder = a.folder or j = 3 and a.folder = 'src/core' and t.folder = 'src/core'))"""
+_GRAPH = {
+    "import_edges": f"with {_LINKED} select * from edges",
+    "reverse_imports": f"with {_LINKED} select repo, target, source, count(*) imports from edges group by 1, 2, 3",
+    "affected_files": f"""with recursive {_LINKED},
+        reached(repo, file_path, steps) using key (repo, file_path) as (
+            select repo, folder || '/m' || doc_id || '.py', 0 from linked where doc_id % 50 = 0
+            union
+            select e.repo, e.source, min(r.steps) + 1 from reached r join edges e on e.repo = r.repo and e.target = r.file_path
+                left join recurring.reached q on q.repo = e.repo and q.file_path = e.source where q.file_path is null group by 1, 2)
+        select repo, file_path, steps from reached""",
+}
 _BODIES["repository_index"] = f"""select f.repo, f.file_path, c.chunk_ord, row_number() over (partition by f.repo order by doc_id, c.chunk_ord) - 1 chunk_idx, true embed_ok
     from chunks c join code_files f using (doc_id) where not list_has_any(string_split(f.file_path, '/'), {_list(fixed.SKIPPED_DIRS)})
         and f.ext in {_in(fixed.INDEXED_EXTENSIONS)} and trim(f.content) <> ''"""
@@ -529,9 +550,13 @@ _BODIES["signatures"] = f"select event_id, {_DIGEST} digest, event_id % 17 <> 0
 
 
 
-for _name, _columns in {"rollup_by_type": ["value", "avg", "max", "p50", "p95"], "pr_rollup": ["cost", "context_utilization"], "pr_review_points": ["value"], "stream_rollup": ["total"]}.items():
+for _name, _columns in {"rollup_by_type": ["value", "avg", "max", "p50", "p95"], "pr_rollup": ["cost", "context_utilization"], "pr_review_points": ["value"], "stream_rollup": ["total"], "stream_rollup_current": ["total"], "rollup_from_states": ["value", "avg", "max"]}.items():
     _BODIES[_name] = _stable(_BODIES[_name], *_columns)
 _WIDGET_COLUMNS = {"prompt_and_completion": ["prompt", "completion"], "files_and_chunks": ["files", "chunks"], "embedding_calls": ["success", "failed"]}
 
 SQL = {name: _with(body) for name, body in _BODIES.items()}
 SQL |= {f"dash_{name}": _with(_stable(body, *_WIDGET_COLUMNS.get(name, ["value"]))) for name, body in WIDGETS.items()}
+SQL |= _GRAPH
+_DAYS = "from (select * from points where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'{}) points"
+for _name, _chosen in {"avg_cost": "", "error_rate": "", "security_by_type": "", "cumulative_cost_by_repo": "", "generation_time": " and repo = 'org/r3' and production"}.items():
+    SQL[f"stored_{_name}"] = _with(_stable(WIDGETS[_name].replace("from points", _DAYS.format(_chosen)), *_WIDGET_COLUMNS.get(_name, ["value"])))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed
+from patchlake.functions.frames import computed, null_safe_join
 from patchlake.functions.numbers import round_half_even
 
 MIN_SCORE = 0.5
@@ -85,14 +85,14 @@ def gather(files: DataFrame, matches: DataFrame, chunks: DataFrame, group: list[
         *group, "chunk_idx", "chunk_ord", "file_path", "start_line", "name", F.substring("content", 1, shown).alias("content")
     )
     # texts of matched chunks only; a chunk is matched by files of its own group, so no key is hot
-    found = matches.join(short, [*group, "chunk_idx"], "left")
+    found = null_safe_join(matches, short, [*group, "chunk_idx"], "left")
     similar = found.groupBy(*group, "query_idx").agg(
         F.array_sort(F.collect_list(F.struct("rank", "score", "file_path", "start_line", "name", "content", "chunk_idx"))).alias("similar")
     )
     related = related_chunks(short).groupBy(*group, "file_path").agg(
         F.array_sort(F.collect_list(F.struct("chunk_ord", "file_path", "start_line", "name", "content"))).alias("related")
     )
-    joined = files.join(similar, [*group, "query_idx"], "left").join(related, [*group, "file_path"], "left")
+    joined = null_safe_join(null_safe_join(files, similar, [*group, "query_idx"], "left"), related, [*group, "file_path"], "left")
     empty = {name: F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)) for name in ("similar", "related")}
     return joined.withColumns(empty)
 

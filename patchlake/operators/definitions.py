@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import computed, exploded
+from patchlake.functions.frames import computed, exploded, null_safe_join
 
 # A line without one of these cannot match the pattern, so the costly search is left out.
 _NEEDED = {
@@ -73,7 +73,7 @@ def _outline(defs: Column) -> Column:
 def file_summaries(files: DataFrame, by_type: DataFrame, keys: list[str]) -> DataFrame:
     """One line per file: local and standard modules, then definitions. `by_type` is imports_by_type."""
     outlined = with_definitions(files).select(*keys, _outline(F.col("_defs")).alias("_outline"))
-    joined = outlined.join(by_type.select(*keys, "local", "stdlib"), keys, "left")
+    joined = null_safe_join(outlined, by_type.select(*keys, "local", "stdlib"), keys, "left")
 
     def modules(label: str, column: str) -> Column:
         names = F.array_join(F.transform(F.slice(column, 1, 3), lambda i: i["module_name"]), ", ")

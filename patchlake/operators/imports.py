@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake import fixed
-from patchlake.functions.frames import exploded
+from patchlake.functions.frames import exploded, null_safe_join
 
 
 def _suffixes(dotted: Column) -> Column:
@@ -54,25 +54,20 @@ def import_rows(files: DataFrame, keys: list[str]) -> DataFrame:
 def classify(imports: DataFrame, modules: DataFrame, repo: list[str]) -> DataFrame:
     """Add `import_type`: local, stdlib or third_party.
 
-    `modules` has one row per (repo, module). Most rows, and all common ones, are decided by their text. Of the others
-    each distinct (repo, raw_import) is looked up once; a name that many files import is one row there.
+    `modules` has one row per (repo, module), null being a repository like others. Most rows, and all common ones, are decided by
+    their text; they go through the joins under names that no module has, so that "os" is no hot key. `imports` is read once.
     """
     by_text = (
         F.when(F.col("is_relative"), "local")
         .when(F.col("module_name").isin(fixed.STDLIB), "stdlib")
         .when(F.lower("module_name").isin(fixed.KNOWN_PACKAGES), "third_party")
     )
-    marked = imports.withColumn("_by_text", by_text)
-    open_names = marked.where("_by_text is null").select(*repo, "raw_import", "module_name").distinct()
-    either = open_names.select(*repo, "raw_import", F.explode(F.array_distinct(F.array("raw_import", "module_name"))).alias("module"))
-    local = either.join(modules, [*repo, "module"], "left_semi").select(*repo, "raw_import").distinct()
-    # rows that the text decides go through the join under names that no module has, so that "os" is no hot key
     spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*imports.columns), F.lit(1024)).cast("string"))
-    name = F.when(F.col("_by_text").isNull(), F.col("raw_import")).otherwise(spread)
-    found = marked.withColumn("_name", name).join(
-        local.select(*repo, F.col("raw_import").alias("_name"), F.lit("local").alias("_found")), [*repo, "_name"], "left"
-    )
-    kind = F.coalesce("_by_text", "_found", F.lit("third_party"))
+    found = imports.withColumn("_by_text", by_text)
+    for name in ("raw_import", "module_name"):
+        known = modules.select(*repo, F.col("module").alias("_name"), F.lit("local").alias(f"_{name}"))
+        found = null_safe_join(found.withColumn("_name", F.when(F.col("_by_text").isNull(), F.col(name)).otherwise(spread)), known, [*repo, "_name"], "left").drop("_name")
+    kind = F.coalesce("_by_text", "_raw_import", "_module_name", F.lit("third_party"))
     return found.select(*imports.columns, kind.alias("import_type"))
 
 

@@ -1,8 +1,9 @@
 """Exact nearest chunks by inner product.
 
-A fixed grid of cells is laid over the queries and the chunks of a group: a query goes to one row of cells, a chunk to one
-column, so each is copied as often as the grid is wide, and no more. In a cell the queries are held as one matrix, the chunks
-stream by in blocks, and only the best of each query are kept. Pairs are never emitted.
+A grid of cells is laid over the queries and the chunks of a group: a query goes to one row of cells, a chunk to one column. How many
+rows and columns a group has follows from its counts, so a cell is of a set size however large its group, small groups are one
+cell each, and each row is copied as often as its own group's grid is wide, and no more. In a cell the queries are held as one matrix, the
+chunks stream by in blocks, and only the best of each query are kept. Pairs are never emitted.
 """
 
 from collections.abc import Callable, Iterator
@@ -15,12 +16,12 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import vectors
-from patchlake.functions.frames import computed, cuts, exploded, partitioned
+from patchlake.functions.frames import computed, cuts, exploded, null_safe_join, partitioned
 from patchlake.operators.batches import embed_queries
 
 CHUNK_BLOCK = 4096
-#: Rows and columns of the grid for one index over everything; indexes of groups are small, and many.
-GRID, GROUP_GRID = (8, 8), (1, 1)
+#: About as many queries, which a task holds, and chunks, which stream by, make a cell.
+CELL_QUERIES, CELL_CHUNKS = 4096, 131_072
 
 
 def normalized(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -80,6 +81,16 @@ class _Cell:
         return out.assign(query_idx=self.queries["idx"].to_numpy()[rows], chunk_idx=idx, own=[a is not None and a == b for a, b in zip(own, file)], score=score)
 
 
+def _with_grid(queries: DataFrame, chunks: DataFrame, group: list[str], cell_size: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both with the rows and columns of their group's grid. Groups without queries or without chunks go."""
+    sides = [df.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in zip((queries, chunks), cell_size, ("_rows", "_columns"))]
+    if not group:  # one row of two numbers
+        rows, columns = (side.first()[0] for side in sides)
+        return tuple(df.withColumns({"_rows": F.lit(max(rows, 1)), "_columns": F.lit(max(columns, 1))}) for df in (queries, chunks))
+    grid = null_safe_join(*sides, group)
+    return null_safe_join(queries, grid, group), null_safe_join(chunks, grid, group)
+
+
 def nearest(
     queries: DataFrame,
     chunks: DataFrame,
@@ -88,7 +99,7 @@ def nearest(
     exclude_own_file: bool = False,
     overfetch: int = fixed.OVERFETCH,
     chunk_block: int = CHUNK_BLOCK,
-    grid: tuple[int, int] | None = None,
+    cell_size: tuple[int, int] = (CELL_QUERIES, CELL_CHUNKS),
 ) -> DataFrame:
     """The k best chunks of every query within its group: group, query_idx, chunk_idx, score, rank.
 
@@ -97,24 +108,25 @@ def nearest(
     Vectors are normalized here. Scores are kept as floats and ties go to the lower chunk_idx.
 
     With `exclude_own_file`, overfetch * k chunks are fetched before the own file's are dropped, so a
-    file that owns most of the nearest chunks can leave a query with fewer than k. A task holds the queries of a cell, so
-    `grid` has as many rows as it takes for these to fit; null groups are groups like others.
+    file that owns most of the nearest chunks can leave a query with fewer than k. A task holds the queries of one cell at a time, so
+    `cell_size` (queries, chunks) has to fit a worker; both inputs are counted by group first. Null groups are groups like others.
     """
-    across, down = grid or (GROUP_GRID if group else GRID)
     fetched = k * overfetch if exclude_own_file else k
     own_file = F.col("file_path") if exclude_own_file else F.lit(None).cast("string")
 
-    def copies(n: int, name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    queries = queries.where(F.size("embedding") > 0)
+    chunks = chunks.where(F.size("embedding") > 0)
+    queries, chunks = _with_grid(queries, chunks, group, cell_size)
+
+    def copies(n: str, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
 
-    queries = normalized(queries.where(F.size("embedding") > 0))
-    left = queries.select(
-        *group, F.pmod(F.xxhash64("query_idx"), F.lit(across)).cast("int").alias("_row"), copies(down, "_column"),
+    left = normalized(queries).select(
+        *group, F.pmod(F.xxhash64("query_idx"), F.col("_rows")).cast("int").alias("_row"), copies("_columns", "_column"),
         F.lit(0).alias("side"), F.col("query_idx").alias("idx"), own_file.alias("file"), "embedding",
     )
-    chunks = normalized(chunks.where(F.size("embedding") > 0))
-    right = chunks.select(
-        *group, copies(across, "_row"), F.pmod(F.xxhash64("chunk_idx"), F.lit(down)).cast("int").alias("_column"),
+    right = normalized(chunks).select(
+        *group, copies("_rows", "_row"), F.pmod(F.xxhash64("chunk_idx"), F.col("_columns")).cast("int").alias("_column"),
         F.lit(1).alias("side"), F.col("chunk_idx").alias("idx"), F.col("file_path").alias("file"), "embedding",
     )
     both = left.unionByName(right)
@@ -170,9 +182,10 @@ def find_by_name(
         return by_name
     numbered = F.posexplode(wanted).alias("query_idx", "query")
     groups = chunks.select(*group).distinct() if group else chunks.sparkSession.range(1).select()
-    unmatched = groups.select(*group, numbered).join(hits.select(*group, "query").distinct(), [*group, "query"], "left_anti")
+    found = hits.select(*group, "query").distinct().withColumn("_found", F.lit(True))
+    unmatched = null_safe_join(groups.select(*group, numbered), found, [*group, "query"], "left").where("_found is null").drop("_found")
     # the distinct names are few, as they are parameters: each is embedded once, whatever the number of groups
     meant = unmatched.select("query").distinct().withColumn("_text", F.concat(F.lit("function "), F.col("query")))
     asked = unmatched.join(embed_queries(meant, "_text", embed), "query")
-    found = nearest(asked, chunks, group, k).join(unmatched, [*group, "query_idx"])
+    found = null_safe_join(nearest(asked, chunks, group, k), unmatched, [*group, "query_idx"])
     return by_name.unionByName(found.select(*group, "query", "chunk_idx", "score", "rank"))

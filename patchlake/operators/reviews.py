@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from patchlake import fixed
 from patchlake.functions import text
+from patchlake.functions.frames import null_safe_join
 from patchlake.functions.numbers import round_half_even
 from patchlake.operators.scan import issues
 
@@ -31,7 +32,7 @@ def attach_contents(
     A content row is unique by keys and filename, and so is a changed file.
     """
     wanted = contents.where(text.is_reviewed_path(F.col("filename"), extensions) & text.is_filled(F.col("content")))
-    return files.join(wanted.select(*keys, "filename", "content"), [*keys, "filename"], "left")
+    return null_safe_join(files, wanted.select(*keys, "filename", "content"), [*keys, "filename"], "left")
 
 
 def cost(
@@ -67,7 +68,7 @@ def pr_rollup(files: DataFrame, reviewed: DataFrame) -> DataFrame:
         F.sum(cost(F.col("prompt_tokens"), F.col("completion_tokens"))).alias("cost"),
         F.max(utilization(F.col("prompt_tokens"))).alias("context_utilization"),
     )
-    joined = changed.join(used, PR, "left").fillna(
+    joined = null_safe_join(changed, used, PR, "left").fillna(
         0, ["files_reviewed", "total_tokens", "prompt_tokens", "cost", "context_utilization"]
     )
     return joined.withColumn("completion_tokens", F.col("total_tokens") - F.col("prompt_tokens"))
@@ -76,7 +77,7 @@ def pr_rollup(files: DataFrame, reviewed: DataFrame) -> DataFrame:
 def review_headlines(files: DataFrame, commented: DataFrame) -> DataFrame:
     """Body of the posted review of each pull request, with its number of comments."""
     counted = commented.groupBy(*PR).agg(F.sum(F.size("comments")).alias("n_comments"))
-    joined = files.select(*PR).distinct().join(counted, PR, "left").fillna(0, ["n_comments"])
+    joined = null_safe_join(files.select(*PR).distinct(), counted, PR, "left").fillna(0, ["n_comments"])
     headline = F.concat(F.lit("AI Code Review - "), F.col("n_comments"), F.lit(" issue(s) found"))
     body = F.when(F.col("n_comments") == 0, fixed.APPROVED_BODY).otherwise(headline)
     return joined.select(*PR, "n_comments", body.alias("body"))

@@ -62,7 +62,7 @@ def index_runs(pr_files: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each pull request with an index: the files that were fetched for it, also those that are not indexed, and its chunks."""
     made = chunks.groupBy("repo", "pr").agg(F.count("*").alias("chunks_created"))
     files = fetched_files(pr_files).groupBy("repo", "pr").agg(F.count("*").alias("files_indexed"))
-    return made.join(files, ["repo", "pr"])
+    return null_safe_join(made, files, ["repo", "pr"])
 
 
 def index_repositories(files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from patchlake import fixed
 from patchlake.functions import text
-from patchlake.functions.frames import saved
+from patchlake.functions.frames import null_safe_join, saved
 from patchlake.operators import context, points, reviews
 from patchlake.operators.answers import comment_rows, with_comments
 from patchlake.operators.batches import embed_queries, embedding_calls
@@ -32,7 +32,7 @@ def retrieve(
     queries = saved(embed_queries(asked, "_query", embed), f"{folder}/queries")
     matches = nearest(queries, index.select(*PR, "chunk_idx", "file_path", "embedding"), PR, k, exclude_own_file=True)
     indexed = index.select(*PR).distinct().withColumn("has_index", F.lit(True))
-    files = files.join(indexed, PR, "left").withColumn("has_index", F.coalesce("has_index", F.lit(False)))
+    files = null_safe_join(files, indexed, PR, "left").withColumn("has_index", F.coalesce("has_index", F.lit(False)))
     found = context.gather(files.withColumn("query_idx", F.col("file_ord")), matches, index, PR)
     return context.with_context_text(found, max_tokens).drop("query_idx")
 
@@ -68,7 +68,7 @@ def request_security_events(requests: DataFrame) -> DataFrame:
 def review_points(files: DataFrame, answered: DataFrame, durations: DataFrame, model: str, keep: list[str] = ()) -> DataFrame:
     """Points of every reviewed pull request. `durations` has one row of seconds per (repo, pr)."""
     rolled = reviews.pr_rollup(files, answered.where(F.col("error_type").isNull()))
-    return points.review_points(rolled.join(durations, PR), model, "webhook", keep)
+    return points.review_points(null_safe_join(rolled, durations, PR), model, "webhook", keep)
 
 
 @dataclass(frozen=True)
@@ -100,14 +100,15 @@ def review_pull_requests(
     not be read, get an error point and nothing else. A file whose call failed is left out of the review. Index, queries, prompts and
     answers are saved below `folder`, so that no model is called twice.
     """
-    files = changed.join(failed.select(*PR).distinct(), PR, "left_anti")
+    gone = failed.select(*PR).distinct().withColumn("_gone", F.lit(True))
+    files = null_safe_join(changed, gone, PR, "left").where("_gone is null").drop("_gone")
     index = index_pull_requests(files, embed, folder, size)
     prompted = saved(prompts(files, index, embed, system, folder).drop("similar", "related"), f"{folder}/prompts")
     answered = answered_files(prompted, generate, folder)
     commented = commented_files(answered)
     events = security_events(files)
-    runs = index_runs(files, index).join(durations.select(*PR, F.col("indexing_duration").alias("duration")), PR)
-    found = prompted.where("has_index").join(durations.select(*PR, F.col("retrieval_duration").alias("duration")), PR)
+    runs = null_safe_join(index_runs(files, index), durations.select(*PR, F.col("indexing_duration").alias("duration")), PR)
+    found = null_safe_join(prompted.where("has_index"), durations.select(*PR, F.col("retrieval_duration").alias("duration")), PR)
     all_points = [
         review_points(files, answered, durations.select(*PR, "duration"), model, keep=PR),
         points.security_points(events, "webhook", keep=PR),
