@@ -24,7 +24,7 @@ from patchlake.llm.shingles import _mixed
 
 #: Words of a block before it is cut up.
 CHUNK = 512
-_SLAB = 192  # rows of small blocks that share one product
+_SLAB = 160  # rows of small blocks that share one product
 _HELD = 200_000  # distinct words that a task counts before it hands them on
 _DIMS, _CLASSES = 90, 4
 _PAIRS = list(combinations(range(_CLASSES), 2))
@@ -89,6 +89,15 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return np.bincount(owner * _DIMS + dims, minlength=len(words) * _DIMS).reshape(len(words), _DIMS)
 
 
+def _class_hashes(counts: np.ndarray) -> np.ndarray:
+    """For each word and class of letters, a hash of its counts in the class."""
+    return np.stack([_mixed((counts[:, _CLASS == c] * _WEIGHT[_CLASS == c]).sum(1, dtype=np.uint64) + np.uint64(c)) for c in range(_CLASSES)], axis=1)
+
+
+def _cell(left: np.ndarray, right: np.ndarray, pair, lengths: np.ndarray) -> np.ndarray:
+    return _mixed(left * np.uint64(3) + right * np.uint64(5) + pair + _mixed(lengths))
+
+
 def _placed(words: DataFrame) -> DataFrame:
     """(cell, short, word, n): every word in the cells where its near words are; short where it is one letter shorter than the cell's words."""
 
@@ -98,12 +107,11 @@ def _placed(words: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 2000)
                 words = batch["word"].to_pylist()
                 counts = letter_counts(words).astype(np.uint64)
-                own = [_mixed((counts[:, _CLASS == c] * _WEIGHT[_CLASS == c]).sum(1, dtype=np.uint64) + np.uint64(c)) for c in range(_CLASSES)]
+                own = _class_hashes(counts)
                 lengths = counts.sum(1)
                 for p, (a, b) in enumerate(_PAIRS):
-                    same = own[a] * np.uint64(3) + own[b] * np.uint64(5) + np.uint64(p)
                     for short in (0, 1):
-                        cell = _mixed(same + _mixed(lengths + np.uint64(short)))
+                        cell = _cell(own[:, a], own[:, b], np.uint64(p), lengths + np.uint64(short))
                         yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array([bool(short)] * len(words)), batch["word"], batch["n"]], names=["cell", "short", "word", "n"])
 
     return words.mapInArrow(run, "cell long, short boolean, word string, n long")
@@ -120,20 +128,24 @@ def _one_edit(a: np.ndarray, b: np.ndarray, alen: np.ndarray, blen: np.ndarray)
     return np.where(alen == blen, differs.sum(1) == 1, last < first)
 
 
-def near_pairs(words: list[str], cell: np.ndarray, short: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of places in `words` that are near, of the rows of whole blocks. Pairs that agree in several pairs of classes are
-    given by the first of them only."""
+def near_pairs(words: list[str], cell: np.ndarray, short: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: np.ndarray, slabs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of places in `words` that are near, each once for every block in which they meet, and the number of the first pair of
+    classes in which they agree. `slabs` are ranges of whole blocks; one product each."""
     counts = letter_counts(words).astype(np.float32 if max(map(len, words)) < 1500 else np.float64)
     lengths = counts.sum(1)
-    gram = counts @ counts.T
-    square = np.diag(gram)
-    apart = square[:, None] + square[None, :] - 2 * gram
-    i, j = np.nonzero(apart <= 2)
+    square = np.einsum("ij,ij->i", counts, counts)
+    found = []
+    for start, end in slabs:
+        block = counts[start:end]
+        half = square[start:end] / 2 - 1
+        # squared distances of two at most: |x|^2 / 2 - 1 + |y|^2 / 2 <= xy
+        i, j = np.nonzero(block @ block.T >= half[:, None] + (half + 1))
+        found.append((i + start, j + start))
+    i, j = (np.concatenate(x) for x in zip(*found))
     # i is the longer word of two, or the earlier one; both of a block; of two chunks, one of each
     fits = ~short[i] & (cell[i] == cell[j]) & np.where(short[j], lengths[i] == lengths[j] + 1, (i < j) & (lengths[i] == lengths[j]))
     fits &= (a[i] == a[j]) & (b[i] == b[j]) & np.where(a[i] == b[i], True, chunk[i] != chunk[j])
     i, j = i[fits], j[fits]
-    touched = np.stack([(counts[i][:, _CLASS == c] != counts[j][:, _CLASS == c]).any(1) for c in range(_CLASSES)], axis=1) if len(i) else np.zeros((0, _CLASSES), bool)
     codes, sizes = _codes(words)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     keep = np.zeros(len(i), bool)
@@ -141,13 +153,15 @@ def near_pairs(words: list[str], cell: np.ndarray, short: np.ndarray, a: np.ndar
         x, y = j[at : at + 4096], i[at : at + 4096]  # the shorter word first
         width = int(sizes[y].max())
         if width > 200:  # long words, one by one
-            for q, (s, t) in enumerate(zip(x, y)):
-                keep[at + q] = near(words[s], words[t])
+            keep[at : at + 4096] = [near(words[s], words[t]) for s, t in zip(x, y)]
             continue
         place = np.arange(width)
         one, two = (np.where(place < sizes[z][:, None], codes[np.minimum(starts[z][:, None] + place, len(codes) - 1)], 0) for z in (x, y))
         keep[at : at + 4096] = _one_edit(one, two, sizes[x], sizes[y])
-    return np.stack([i[keep], j[keep]], axis=1), touched[keep]
+    i, j = i[keep], j[keep]
+    member = (_CLASS[:, None] == np.arange(_CLASSES)).astype(np.float32)
+    touched = (counts[i] != counts[j]).astype(np.float32) @ member > 0
+    return i, j, np.stack([~touched[:, p] & ~touched[:, q] for p, q in _PAIRS], axis=1).argmax(1)
 
 
 def near(x: str, y: str) -> bool:
@@ -160,12 +174,6 @@ def near(x: str, y: str) -> bool:
     return x[p + (len(x) == len(y)) :] == y[p + 1 :]
 
 
-def _first_pair(touched: np.ndarray) -> np.ndarray:
-    """The first pair of classes in which two words agree, by which classes an edit touched."""
-    free = np.stack([~touched[:, a] & ~touched[:, b] for a, b in _PAIRS], axis=1)
-    return free.argmax(1)
-
-
 def _neighbours(words: DataFrame) -> DataFrame:
     """(word, n_near, near, near_n): for each word with near words, how many, and the most frequent one, part by part."""
     cells = kept(_placed(words))
@@ -176,26 +184,20 @@ def _neighbours(words: DataFrame) -> DataFrame:
     blocks = cut.select("cell", "short", "word", "n", "chunk", other)
     blocks = blocks.select("cell", "short", "word", "n", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
 
-    def compared(rows: pa.Table):
+    def compared(rows: pa.Table, slabs: list[tuple[int, int]]):
         words = rows["word"].to_pylist()
         cell, short, chunk, a, b, n = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "short", "chunk", "a", "b", "n"))
-        pairs, touched = near_pairs(words, cell, short.astype(bool), a, b, chunk)
-        if len(pairs):
-            i, j = pairs.T
-            # the cell tells by which pair of classes the two met
-            counts = letter_counts([words[k] for k in i]).astype(np.uint64)
-            p = _first_pair(touched)
-            own = np.stack([_mixed((counts[:, _CLASS == c] * _WEIGHT[_CLASS == c]).sum(1, dtype=np.uint64) + np.uint64(c)) for c in range(_CLASSES)], axis=1)
-            at = np.arange(len(p))
-            left, right = np.array(_PAIRS)[p].T
-            same = own[at, left] * np.uint64(3) + own[at, right] * np.uint64(5) + p.astype(np.uint64)
-            first = _mixed(same + _mixed(counts.sum(1))).view(np.int64) == cell[i]
-            i, j = i[first], j[first]
-        else:
-            i = j = np.zeros(0, np.int64)
-        taken = np.concatenate([i, j]), np.concatenate([j, i])
+        i, j, p = near_pairs(words, cell, short.astype(bool), a, b, chunk, slabs)
+        # two words that agree in several pairs of classes count in the cell of the first; the cell tells by which they met
+        counts = letter_counts([words[k] for k in i]).astype(np.uint64)
+        own = _class_hashes(counts)
+        at = np.arange(len(p))
+        left, right = np.array(_PAIRS)[p].T
+        first = _cell(own[at, left], own[at, right], p.astype(np.uint64), counts.sum(1)).view(np.int64) == cell[i]
+        i, j = i[first], j[first]
         column = rows["word"].combine_chunks()
-        return pa.RecordBatch.from_arrays([column.take(pa.array(taken[0])), column.take(pa.array(taken[1])), pa.array(n[taken[1]], pa.int64())], names=["word", "near", "near_n"])
+        to, near = pa.array(np.concatenate([i, j])), np.concatenate([j, i])
+        return pa.RecordBatch.from_arrays([column.take(to), column.take(pa.array(near)), pa.array(n[near], pa.int64())], names=["word", "near", "near_n"])
 
     def run(batches):
         held = None
@@ -203,16 +205,17 @@ def _neighbours(words: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             cell, a, b = (rows[c].combine_chunks().to_numpy() for c in ("cell", "a", "b"))
             bounds = np.flatnonzero((cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-            at = 0
+            slabs, at = [], 0
             while len(bounds) and at < bounds[-1]:
                 k = np.searchsorted(bounds, at + _SLAB, "right") - 1  # as many whole blocks as fit, one at least
                 end = int(bounds[k]) if k >= 0 and bounds[k] > at else int(bounds[np.searchsorted(bounds, at, "right")])
-                if end - at > 1:
-                    yield compared(rows.slice(at, end - at))
+                slabs.append((at, end))
                 at = end
-            held = rows.slice(at)
-        if held is not None and held.num_rows > 1:
-            yield compared(held)
+            if slabs:
+                yield compared(rows.slice(0, at), slabs)
+            held = rows.slice(at)  # the last block may go on
+        if held is not None and held.num_rows:
+            yield compared(held, [(0, held.num_rows)])
 
     dealt = blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
     pairs = dealt.mapInArrow(run, "word string, near string, near_n long")
