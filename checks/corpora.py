@@ -204,6 +204,30 @@ def deliveries_of(events: DataFrame) -> DataFrame:
     return made.withColumn("signature", F.when(F.col("event_id") % 17 == 0, wrong).otherwise(_true_signature(F.col("body"))))
 
 
+def review_deliveries_of(documents: DataFrame) -> DataFrame:
+    """Documents as deliveries about their pull requests: the first file's starts a review, and so does the second's; the others are of an
+    action that is passed over, or pings."""
+    made = documents.selectExpr(
+        "doc_id", "if((doc_id div 7) % 5 = 4, 'ping', 'pull_request') event",
+        """concat('{"action":"', if((doc_id div 7) % 5 < 2, 'opened', 'closed'), '","number":', doc_id div 35,
+            ',"pull_request":{"head":{"sha":"s","ref":"f"},"base":{"ref":"main"}},"repository":{"name":"r', doc_id % 7, '","full_name":"org/r', doc_id % 7,
+            '","owner":{"login":"org"}},"sender":{"login":"u"}}') body""",
+    )
+    return made.withColumn("body", F.col("body").cast("binary")).withColumn("signature", _true_signature(F.col("body")))
+
+
+def landed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File lists of pull requests as the source host gives them."""
+    one = F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "filename", "patch", "changes"))), lambda f: F.struct(*[f[c].alias(c) for c in ("filename", "patch", "changes")]))
+    return pr_files(spark, sf_dir).groupBy("repo", "pr").agg(F.to_json(one).alias("body"))
+
+
+def landed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents as the source host gives them; those of every tenth pull request are no UTF-8."""
+    content = F.when(F.col("pr") % 10 == 9, F.lit("Y2Fm6Q==")).otherwise(F.base64(F.encode("content", "UTF-8")))
+    return pr_files(spark, sf_dir).select("repo", "pr", "filename", F.to_json(F.struct(content.alias("content"))).alias("body"))
+
+
 def letter_counts(texts: list[str]) -> list[list[float]]:
     """A stand-in for an embedding model that SQL can repeat: how often each letter a to z occurs."""
     return [[float(text.count(chr(letter))) for letter in range(97, 123)] for text in texts]

@@ -19,6 +19,7 @@ from patchlake.operators import (
 from patchlake.plans import dashboard, indexing, review
 from patchlake.sources import files, landed, points_table, windows_table
 from patchlake.streaming import deliveries as delivery_stream
+from patchlake.streaming import reviews as review_stream
 from patchlake.streaming import rollup as rollup_stream
 
 # Functions that run in Python workers travel with their code, so the packages need not be installed there.
@@ -476,19 +477,25 @@ def _three_lines(prompt: str) -> tuple[str, int, int, int]:
 def _run(spark, sf):
     """One whole run. The contents of every tenth pull request can't be read."""
     changed = corpora.pr_files(spark, sf)
+    failed = changed.where("pr % 10 = 9").select(*PR, F.lit("UnicodeDecodeError").alias("error_type")).distinct()
+    return _review(changed, failed, scratch(spark))
+
+
+def _review(changed, failed, folder):
     seconds = F.count("*").cast("double")
     durations = changed.groupBy(*PR).agg(
         seconds.alias("duration"), (seconds * 0.25).alias("indexing_duration"), F.lit(0.25).alias("retrieval_duration")
     )
-    failed = changed.where("pr % 10 = 9").select(*PR, F.lit("UnicodeDecodeError").alias("error_type")).distinct()
-    return review.review_pull_requests(
-        changed, durations, failed, corpora.letter_counts, _three_lines, SYSTEM, MODEL, scratch(spark), LETTERS
-    )
+    return review.review_pull_requests(changed, durations, failed, corpora.letter_counts, _three_lines, SYSTEM, MODEL, folder, LETTERS)
 
 
 def pr_review_all_points(spark, sf):
     """All points of a run but the measured seconds of embedding calls."""
-    made = _run(spark, sf).points.where("metric <> 'rag.embedding.api_duration_seconds'")
+    return _comparable(_run(spark, sf).points)
+
+
+def _comparable(made):
+    made = made.where("metric <> 'rag.embedding.api_duration_seconds'")
     rounded = F.when(F.col("metric") == "rag.retrieval.max_similarity", F.round("value", 4)).otherwise(F.col("value"))
     return _stable(_flat(made.withColumn("value", rounded)))
 
@@ -603,6 +610,35 @@ def stream_deliveries(spark, sf):
     return spark.read.parquet(f"{path}/out").select("event_id", "status", "code", "message", "pr_number")
 
 
+def stream_delivery_counts(spark, sf):
+    """Deliveries, of which every fifth arrives twice, in sinks that a batch fills together."""
+    path = scratch(spark)
+    arriving = _event_stream(spark, sf).withColumn("time", F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    arriving = delivery_stream.distinct_deliveries(arriving.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "1 hour")
+    delivery_stream.write_sinks(corpora.deliveries_of(arriving), path, f"{path}/checkpoint", corpora.SECRET, once=True).awaitTermination()
+    counts = delivery_stream.read_sink(spark, path, "counts").groupBy("status", "code").agg(F.sum("n").alias("n"))
+    logged = delivery_stream.read_sink(spark, path, "log").groupBy("status").agg(F.count("*").alias("logged"))
+    return counts.join(logged, "status")
+
+
+def _reviews_by_deliveries(spark, sf):
+    path = scratch(spark)
+    schema = corpora.table(spark, sf, "documents").select("doc_id").schema
+    arriving = corpora.review_deliveries_of(spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/documents.parquet"))
+    lists, contents = (saved(made, f"{path}/{name}") for made, name in ((corpora.landed_lists(spark, sf), "lists"), (corpora.landed_bodies(spark, sf), "contents")))
+    review_stream.write_reviews(arriving, lists, contents, _review, path, f"{path}/checkpoint", corpora.SECRET, once=True).awaitTermination()
+    return path
+
+
+def stream_review_points(spark, sf):
+    """The points of reviews that deliveries have started, from landed lists and contents."""
+    return _comparable(delivery_stream.read_sink(spark, _reviews_by_deliveries(spark, sf), "points").drop("batch"))
+
+
+def stream_review_comments(spark, sf):
+    return delivery_stream.read_sink(spark, _reviews_by_deliveries(spark, sf), "comments").drop("batch")
+
+
 QUERIES = {
     function.__name__: function
     for function in (
@@ -619,7 +655,8 @@ QUERIES = {
         fallback_bodies, file_prompts, request_prompts, request_records, generated_answers, pr_review_points,
         pr_review_all_points, pr_review_comments, pr_review_bodies, request_points, repository_index,
         deliveries_routed, deliveries_routed_unsigned, deliveries_projected, signatures, landed_file_lists,
-        landed_contents, stream_rollup, stream_rollup_current, stream_deliveries,
+        landed_contents, stream_rollup, stream_rollup_current, stream_deliveries, stream_delivery_counts,
+        stream_review_points, stream_review_comments,
     )
 } | {f"dash_{name}": _widget(name) for name in dashboard.WIDGETS}
 

@@ -533,6 +533,8 @@ _BODIES["pr_review_comments"] = _RUN_COMMENTS
 _BODIES["pr_review_bodies"] = f"""select f.repo, f.pr, coalesce(n, 0) n_comments, case when coalesce(n, 0) = 0 then {_quote(fixed.APPROVED_BODY)}
     else 'AI Code Review - ' || n || ' issue(s) found' end body from (select distinct repo, pr from pr_files where pr % 10 <> 9) f
     left join (select repo, pr, count(*) n from ({_RUN_COMMENTS}) group by all) k on k.repo = f.repo and k.pr = f.pr"""
+_BODIES["stream_review_points"], _BODIES["stream_review_comments"] = _BODIES["pr_review_all_points"], _RUN_COMMENTS
+_BODIES["stream_delivery_counts"] = f"select status, code, count(*) n, sum(count(*)) over (partition by status)::bigint logged from ({_BODIES['deliveries_routed']}) group by 1, 2"
 _REQUESTS = f"(select *, pr_id pr, {_COST} \"cost\", prompt_tokens / 128000 * 100 context_utilization, lines_added + lines_deleted total_changes from requests)"
 _BODIES["request_points"] = _stable(
     _points(_REQUESTS, _REVIEW_VALUES, _TAGS.format("|model:" + MODEL, "|source:_experiment"), "repo, pr,") + " union all "
