@@ -260,7 +260,11 @@ def definition_rows(spark, sf):
 
 
 def file_summaries(spark, sf):
-    return definitions.file_summaries(corpora.code_files(spark, sf), _by_type(spark, sf), FILE)
+    facts = definitions.file_facts(corpora.code_files(spark, sf), [*FILE, "repo", "file_path"])
+    facts = saved(facts, f"{scratch(spark)}/facts")
+    found = imports.import_rows(facts, ["doc_id", "repo"], F.col("imports"))
+    classified = imports.classify(found, imports.local_modules(facts, ["repo"]), ["repo"])
+    return definitions.file_summaries(facts, imports.imports_by_type(classified, FILE), FILE)
 
 
 def chunks_function(spark, sf):

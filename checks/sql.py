@@ -3,6 +3,7 @@
 from checks.corpora import METRICS, SECRET, SEEDS
 from checks.queries import MODEL, NAMES, SYSTEM
 from patchlake import fixed
+from patchlake.operators.reviews import HEADINGS
 
 
 def _quote(value: str) -> str:
@@ -191,9 +192,9 @@ CTE |= {
             when 'action' then 'Action ''' || action || ''' not handled' else 'PR review started' end message,
         case when rule in ('action', 'go') then event_id end pr_number from routed""",
 }
-_FULL_PROMPT = f"""{_quote(SYSTEM)} || chr(10) || case when context <> '' then {_quote(chr(10) + fixed.CONTEXT_HEADING + chr(10))} || context || chr(10) || chr(10) else '' end
-    || {_quote(chr(10) + fixed.FILE_HEADING + chr(10))} || filename || {_quote(chr(10) * 2 + fixed.CONTENT_HEADING + chr(10))} || substring(content, 1, 50000)
-    || {_quote(chr(10) * 2 + fixed.PATCH_HEADING + chr(10))} || patch || chr(10)"""
+_FULL_PROMPT = f"""{_quote(SYSTEM)} || chr(10) || case when context <> '' then {_quote(chr(10) + HEADINGS.context + chr(10))} || context || chr(10) || chr(10) else '' end
+    || {_quote(chr(10) + HEADINGS.file + chr(10))} || filename || {_quote(chr(10) * 2 + HEADINGS.content + chr(10))} || substring(content, 1, 50000)
+    || {_quote(chr(10) * 2 + HEADINGS.patch + chr(10))} || patch || chr(10)"""
 _BARE_PROMPT = _FULL_PROMPT.replace("context <> ''", "false").replace("|| context ||", "|| '' ||")
 CTE["prompted"] = CTE["prompted"].replace("{prompt}", "e_prompt").replace("e_prompt", _FULL_PROMPT)
 CTE["stand_in"] = """select f.repo, f.pr, files_changed, total_changes, files_changed::double duration, coalesce(prompt_tokens, 0) prompt_tokens,
@@ -329,9 +330,9 @@ _ROLLUP = f"""select r.*, completion from (select f.repo, f.pr, files_changed, t
         on u.repo = f.repo and u.pr = f.pr) r"""
 _VECTOR_PAIRS = f"""with unit as (select vec_id, label, {_UNIT.format('embedding::double[]')}::double[] v from embeddings),
     pairs as (select a.vec_id query_idx, b.vec_id chunk_idx, a.label own, b.label, list_dot_product(a.v, b.v)::float score from unit a, unit b)"""
-_PROMPT = f"""{_quote(SYSTEM)} || chr(10) || case when doc_id % 2 = 0 then {_quote(chr(10) + fixed.CONTEXT_HEADING + chr(10))} || 'some context' || chr(10) || chr(10) else '' end
-    || {_quote(chr(10) + fixed.FILE_HEADING + chr(10))} || filename || {_quote(chr(10) * 2 + fixed.CONTENT_HEADING + chr(10))} || substring(content, 1, 50000)
-    || {_quote(chr(10) * 2 + fixed.PATCH_HEADING + chr(10))} || patch || chr(10)"""
+_PROMPT = f"""{_quote(SYSTEM)} || chr(10) || case when doc_id % 2 = 0 then {_quote(chr(10) + HEADINGS.context + chr(10))} || 'some context' || chr(10) || chr(10) else '' end
+    || {_quote(chr(10) + HEADINGS.file + chr(10))} || filename || {_quote(chr(10) * 2 + HEADINGS.content + chr(10))} || substring(content, 1, 50000)
+    || {_quote(chr(10) * 2 + HEADINGS.patch + chr(10))} || patch || chr(10)"""
 
 _BODIES = {
     "security_by_type": f'select "type", severity, count(*) n from ({_issues("documents", "text", "doc_id")}) group by all',
@@ -455,7 +456,7 @@ _BODIES = {
     "file_prompts": f"select doc_id, {_PROMPT} prompt from eligible",
     "request_prompts": f"""select pr_id, {_quote(SYSTEM)} || chr(10) || chr(10) || 'Repository: ' || repo || chr(10) || 'Pull Request: #' || pr_id || chr(10) || 'Files changed: '
         || files_changed || chr(10) || 'Lines added: ' || lines_added || chr(10) || 'Lines deleted: ' || lines_deleted || chr(10) || chr(10)
-        || {_quote(fixed.DIFF_HEADING)} || chr(10) || diff || chr(10) prompt from requests""",
+        || {_quote(HEADINGS.diff)} || chr(10) || diff || chr(10) prompt from requests""",
     "request_records": f"""select r.repo, r.pr_id, r.text review, {_rounded(_COST, 6)} cost_usd, prompt_tokens tokens_prompt, completion_tokens tokens_completion,
         total_tokens tokens_total, trunc(duration * 1000)::bigint duration_ms, {_rounded('prompt_tokens / 128000 * 100', 2)} context_utilization_pct,
         lines_added + lines_deleted pr_complexity, coalesce(i.types, '') security_issues, answered_at "timestamp"

@@ -179,7 +179,14 @@ def embed_texts(
     cut = df.withColumn("_text", text.truncate(F.col(source)))
     counted = df if tokens else cut.withColumn("_n", text.tokens(F.col("_text")))
     numbered = token_batches(counted, group, pos, tokens or "_n", max_tokens, max_items)
-    ready = null_safe_join(cut.select(*group, pos, "_text"), numbered, [*group, pos])
+    return embed_batches(null_safe_join(cut.select(*group, pos, "_text"), numbered, [*group, pos]), group, pos, embed, size)
+
+
+def embed_batches(
+    ready: DataFrame, group: list[str], pos: str, embed: Callable[[list[str]], list[list[float]]], size: int = fixed.EMBEDDING_SIZE, keep: list[str] = ()
+) -> DataFrame:
+    """One model call for each `batch` of a group, with the texts in `_text` by `pos`. Columns in `keep` go along, so that
+    what is known of a text needs no join with its vector."""
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
         begin = time.monotonic()
@@ -190,10 +197,10 @@ def embed_texts(
             ok = False
         if not ok:
             vectors = [[0.0] * size for _ in range(len(part))]
-        return part[[*group, pos, "batch"]].assign(embedding=vectors, embed_ok=ok, embed_seconds=time.monotonic() - begin)
+        return part[[*group, pos, *keep, "batch"]].assign(embedding=vectors, embed_ok=ok, embed_seconds=time.monotonic() - begin)
 
     out_type = T.StructType([
-        *_fields(df, [*group, pos]), _long("batch"), T.StructField("embedding", T.ArrayType(T.FloatType())),
+        *_fields(ready, [*group, pos, *keep]), _long("batch"), T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("embed_ok", T.BooleanType()), T.StructField("embed_seconds", T.DoubleType()),
     ])
     return map_groups(ready, [*group, "batch"], [pos], call, out_type)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from patchlake import fixed
 from patchlake.functions import text
 from patchlake.functions.frames import computed, exploded, null_safe_join
+from patchlake.operators.imports import raw_imports
 
 # A line without one of these cannot match the pattern, so the costly search is left out.
 _NEEDED = {
@@ -70,9 +71,15 @@ def _outline(defs: Column) -> Column:
     )
 
 
-def file_summaries(files: DataFrame, by_type: DataFrame, keys: list[str]) -> DataFrame:
-    """One line per file: local and standard modules, then definitions. `by_type` is imports_by_type."""
-    outlined = with_definitions(files).select(*keys, _outline(F.col("_defs")).alias("_outline"))
+def file_facts(files: DataFrame, keys: list[str]) -> DataFrame:
+    """What a file's text tells of it, in one pass: its imports (imports.raw_imports) and its outline."""
+    found = raw_imports(F.col("content"), F.col("language")).alias("imports")
+    return with_definitions(files).select(*keys, found, _outline(F.col("_defs")).alias("outline"))
+
+
+def file_summaries(facts: DataFrame, by_type: DataFrame, keys: list[str]) -> DataFrame:
+    """One line per file: local and standard modules, then definitions, from file_facts. `by_type` is imports_by_type."""
+    outlined = facts.select(*keys, F.col("outline").alias("_outline"))
     joined = null_safe_join(outlined, by_type.select(*keys, "local", "stdlib"), keys, "left")
 
     def modules(label: str, column: str) -> Column:

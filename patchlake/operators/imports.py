@@ -41,9 +41,11 @@ def raw_imports(content: Column, language: Column) -> Column:
     )
 
 
-def import_rows(files: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per import of `content`, with what the text alone tells."""
-    rows = exploded(files, keys, raw_imports(F.col("content"), F.col("language")), "pos", "raw_import")
+def import_rows(files: DataFrame, keys: list[str], found: Column | None = None) -> DataFrame:
+    """One row per import of `content`, with what the text alone tells. With `found`, a column of raw_imports made before, no
+    content is read."""
+    found = raw_imports(F.col("content"), F.col("language")) if found is None else found
+    rows = exploded(files, keys, found, "pos", "raw_import")
     rows = rows.withColumn("full_path", F.regexp_replace("raw_import", r"\A\.+", ""))
     return rows.withColumns({
         "module_name": F.substring_index("full_path", ".", 1),

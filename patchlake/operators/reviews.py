@@ -1,6 +1,7 @@
 """Per-file reviews, their prompts and cost, and what a pull request adds up to."""
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,20 @@ PR = ["repo", "pr"]
 FILES_PER_PART = 100
 
 
+@dataclass(frozen=True)
+class Headings:
+    """What stands in front of the parts of a prompt. The order of the parts is given, their wording is not."""
+
+    context: str = "Code of the same repository that is close to this change:"
+    file: str = "File:"
+    content: str = "Its text after the change:"
+    patch: str = "The change to review:"
+    diff: str = "The changes to review:"
+
+
+HEADINGS = Headings()
+
+
 def eligible_files(files: DataFrame, extensions: list[str] = fixed.REVIEWED_EXTENSIONS) -> DataFrame:
     """Files that are reviewed: with a patch, of a wanted extension, with content."""
     return files.where(
@@ -104,25 +119,25 @@ def fallback_bodies(commented: DataFrame) -> DataFrame:
     return heading.unionByName(parts)
 
 
-def file_prompt(system: str) -> Column:
+def file_prompt(system: str, headings: Headings = HEADINGS) -> Column:
     """Prompt for one file: `context` (may be empty), `filename`, `content` and `patch`."""
     context = F.when(
-        text.is_filled(F.col("context")), F.concat(F.lit(f"\n{fixed.CONTEXT_HEADING}\n"), F.col("context"), F.lit("\n\n"))
+        text.is_filled(F.col("context")), F.concat(F.lit(f"\n{headings.context}\n"), F.col("context"), F.lit("\n\n"))
     ).otherwise("")
     return F.concat(
         F.lit(system), F.lit("\n"), context,
-        F.lit(f"\n{fixed.FILE_HEADING}\n"), F.col("filename"),
-        F.lit(f"\n\n{fixed.CONTENT_HEADING}\n"), F.substring("content", 1, fixed.PROMPT_FILE_CHARS),
-        F.lit(f"\n\n{fixed.PATCH_HEADING}\n"), F.col("patch"), F.lit("\n"),
+        F.lit(f"\n{headings.file}\n"), F.col("filename"),
+        F.lit(f"\n\n{headings.content}\n"), F.substring("content", 1, fixed.PROMPT_FILE_CHARS),
+        F.lit(f"\n\n{headings.patch}\n"), F.col("patch"), F.lit("\n"),
     )
 
 
-def request_prompt(system: str) -> Column:
+def request_prompt(system: str, headings: Headings = HEADINGS) -> Column:
     """Prompt for a whole diff that was sent in by hand."""
     return F.concat(
         F.lit(system), F.lit("\n\nRepository: "), F.col("repo"), F.lit("\nPull Request: #"), F.col("pr_id"),
         F.lit("\nFiles changed: "), F.col("files_changed"), F.lit("\nLines added: "), F.col("lines_added"),
-        F.lit("\nLines deleted: "), F.col("lines_deleted"), F.lit(f"\n\n{fixed.DIFF_HEADING}\n"), F.col("diff"), F.lit("\n"),
+        F.lit("\nLines deleted: "), F.col("lines_deleted"), F.lit(f"\n\n{headings.diff}\n"), F.col("diff"), F.lit("\n"),
     )
 
 

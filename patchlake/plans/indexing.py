@@ -1,7 +1,8 @@
 """Index of code chunks: cut, numbered, embedded, normalized.
 
 Chunks and index are saved below a folder that all executors share, as both are read several times
-and the model should be called once per batch.
+and the model should be called once per batch. Numbers and batches of chunks are worked out on narrow tables of keys and tokens; the text
+of a chunk goes once to its number and once to its batch, and from there, with the vector, into the index.
 """
 
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from patchlake import fixed
 from patchlake.functions import text
 from patchlake.functions.frames import null_safe_join, saved
-from patchlake.operators.batches import embed_texts
+from patchlake.operators.batches import embed_batches, token_batches
 from patchlake.operators.chunks import embedding_text, function_chunks, number_chunks
 from patchlake.operators.nearest import normalized
 
@@ -34,23 +35,26 @@ def chunk_table(files: DataFrame, group: list[str], folder: str, skip_blank: boo
 
     Files are cut once: the numbers come from the saved chunks, of which they read the keys only.
     """
+    return number_chunks(cut_files(files, group, folder, skip_blank), group)
+
+
+def cut_files(files: DataFrame, group: list[str], folder: str, skip_blank: bool = False) -> DataFrame:
+    """The chunks of the files of each index as a saved table, not yet numbered."""
     kept = indexed_files(files, skip_blank)
     cut = function_chunks(kept, [*group, "file_ord", "file_path", "language"])
     cut = cut.withColumn("n_tokens", text.tokens(text.truncate(embedding_text())))
-    return number_chunks(saved(cut, f"{folder}/cut"), group)
-
-
-def embed_chunks(chunks: DataFrame, group: list[str], embed: Embed, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
-    """Chunks with `embedding` and the facts of the call that made it; unit length but for failed calls."""
-    texts = chunks.withColumn("_embed_text", embedding_text())
-    texts = texts.select(*group, "chunk_idx", "n_tokens", "_embed_text")
-    embedded = embed_texts(texts, group, "chunk_idx", "_embed_text", embed, size, tokens="n_tokens")
-    return null_safe_join(chunks, normalized(embedded), [*group, "chunk_idx"])
+    return saved(cut, f"{folder}/cut")
 
 
-def _index(chunks: DataFrame, group: list[str], embed: Embed, size: int, folder: str) -> DataFrame:
-    chunks = saved(chunks, f"{folder}/chunks")
-    return saved(embed_chunks(chunks, group, embed, size), f"{folder}/index")
+def embed_chunks(cut: DataFrame, group: list[str], embed: Embed, size: int, folder: str) -> DataFrame:
+    """Saved chunks with their number, `embedding` and the facts of the call that made it; unit length but for failed calls."""
+    chunk = [*group, "file_ord", "chunk_ord"]
+    numbers = saved(number_chunks(cut.select(*chunk, "n_tokens"), group), f"{folder}/numbers")
+    batches = token_batches(numbers.select(*group, "chunk_idx", "n_tokens"), group, "chunk_idx", "n_tokens")
+    placed = null_safe_join(numbers.drop("n_tokens"), batches, [*group, "chunk_idx"])
+    ready = null_safe_join(cut, placed, chunk).withColumn("_text", text.truncate(embedding_text()))
+    kept = [c for c in cut.columns if c not in group]
+    return saved(normalized(embed_batches(ready, group, "chunk_idx", embed, size, kept)), f"{folder}/index")
 
 
 def fetched_files(pr_files: DataFrame) -> DataFrame:
@@ -67,11 +71,11 @@ def index_runs(pr_files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def index_repositories(files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Index of whole repositories, keyed by repo. Files have `file_ord`, their order in the repository."""
-    return _index(chunk_table(files, ["repo"], folder, skip_blank=True), ["repo"], embed, size, folder)
+    return embed_chunks(cut_files(files, ["repo"], folder, skip_blank=True), ["repo"], embed, size, folder)
 
 
 def index_pull_requests(pr_files: DataFrame, embed: Embed, folder: str, size: int = fixed.EMBEDDING_SIZE) -> DataFrame:
     """Index of the changed files of pull requests, keyed by (repo, pr). Contents are fetched for files of the
     reviewed extensions only, so no others are in the index."""
     files = fetched_files(pr_files).withColumn("file_path", F.col("filename"))
-    return _index(chunk_table(files, ["repo", "pr"], folder), ["repo", "pr"], embed, size, folder)
+    return embed_chunks(cut_files(files, ["repo", "pr"], folder), ["repo", "pr"], embed, size, folder)

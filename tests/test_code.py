@@ -62,7 +62,8 @@ def test_imports(spark):
     ]
     lists = imports.imports_by_type(rows, ["repo", "file_path"]).collect()[0]
     assert [i.raw_import for i in lists.local] == ["app.core", ".", ".rel.y"]
-    summary = definitions.file_summaries(df, imports.imports_by_type(rows, ["repo", "file_path"]), ["repo", "file_path"])
+    facts = definitions.file_facts(df, ["repo", "file_path"])
+    summary = definitions.file_summaries(facts, imports.imports_by_type(rows, ["repo", "file_path"]), ["repo", "file_path"])
     assert {r.file_path: r.summary for r in summary.collect()} == {"f.py": "Local: app, , rel; Stdlib: os", "g.js": "No structure detected"}
 
 

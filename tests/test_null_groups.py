@@ -15,7 +15,7 @@ def test_classify(spark):
     assert sorted((x.id, x.raw_import, x.import_type) for x in made.collect()) == [
         (0, "app.core", "local"), (0, "numpy", "third_party"), (0, "os", "stdlib"), (1, "app.core", "local"), (1, "core.x", "local"), (1, "nope", "third_party")]
     by_type = imports.imports_by_type(made, ["repo"])
-    lines = definitions.file_summaries(df, by_type, ["repo"]).collect()
+    lines = definitions.file_summaries(definitions.file_facts(df, ["repo"]), by_type, ["repo"]).collect()
     assert {x.repo: x.summary for x in lines} == {"r": "Local: app; Stdlib: os", None: "Local: app, core"}
 
 
