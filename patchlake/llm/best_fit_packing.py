@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.encoding import encoder
-from patchlake.llm.shared import kept, ranked, text_or_empty
+from patchlake.llm.encoding import CACHED_WORDS, encoder
+from patchlake.llm.shared import kept, ranked, slices, text_or_empty
 
 PIECE = "key long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
+def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, size: int, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Token ids of each text and `end_id`; those of more than `size` ids are cut into pieces of `size`, the last
     may be shorter. Null and empty texts are one piece, the end id."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), text_or_empty(text).alias("text"))
@@ -31,8 +31,8 @@ def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches):
-        coder, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        coder, end = encoder(tokenizer, most=cached_words), np.array([end_id], dtype="<u4").tobytes()
+        for batch in slices(batches, 1024):
             out = []
             for k, ids in zip(batch["key"].to_pylist(), coder.encode(batch["text"].to_pylist())):
                 ids += end
@@ -171,6 +171,6 @@ def packed(pieces: DataFrame, size: int, length: str = "length", order: tuple[st
     )
 
 
-def packed_documents(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
+def packed_documents(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, size: int, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of all documents with their places: key, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    return packed(kept(cut_pieces(df, key, text, tokenizer, end_id, size, with_ids)), size)
+    return packed(kept(cut_pieces(df, key, text, tokenizer, end_id, size, with_ids, cached_words)), size)

@@ -10,14 +10,12 @@ n - ceil(t n) + 1 of each. The order is by how many documents hold a token, comm
 that are frequent in some part of the input. Any order gives the same links, this one makes few candidates.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.shared import kept
+from patchlake.llm.shared import kept, slices
 from patchlake.llm.shingles import fingerprint, shingle_sets
 
 #: Tokens with a count of their own; the most frequent stay. Bounds what each task is sent (16 bytes each).
@@ -25,20 +23,10 @@ FREQUENT_TOKENS = 500_000
 #: Nodes in a group, at most about; so many sets, twice, are held by a task.
 GROUP_SIZE = 64
 _SLAB = 400_000  # tokens that a task counts at once
-_SLICE = 256  # texts that a task cuts into sets at once
 #: Nodes whose sets are compared, up to which their list is sent to all tasks; beyond it is joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
-def _slices(batches) -> Iterator[pa.RecordBatch]:
-    """A task's rows, few at a time: what is made of a batch's texts is many times as large as they are.
-    Memory that is let go is given back, as workers live on for other stages."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    for batch in batches:
-        for at in range(0, batch.num_rows, _SLICE):
-            yield batch.slice(at, _SLICE)
-
-
 def _sets_and_counts(df: DataFrame, words: int) -> DataFrame:
     """(key, n, fp) of each row; and (token, rows) of tokens that many rows of a slab hold."""
 
@@ -53,7 +41,7 @@ def _sets_and_counts(df: DataFrame, words: int) -> DataFrame:
             none = [None] * int(some.sum())
             return pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 2 + [pa.array(none, pa.binary()), pa.array(token[some].view(np.int64)), pa.array(n[some].astype(np.int64))], schema=schema)
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             prints = [fingerprint(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             none = pa.nulls(batch.num_rows, pa.int64())
@@ -75,7 +63,7 @@ def _leading(df: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
 
     def run(batches):
         token, rows = shared.value
-        for batch in _slices(batches):
+        for batch in slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             found = np.minimum(np.searchsorted(token, values), max(len(token) - 1, 0))
             count = np.where(token[found] == values, rows[found], 0) if len(token) else np.zeros(len(values), np.int64)
@@ -118,7 +106,7 @@ def _held(wanted: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> Dat
     texts = df.join(side, F.col("key").eqNullSafe(F.col("_key"))).select("node", "fp", "text")
 
     def sets(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             values, ends = shingle_sets(batch["text"].to_pylist(), words)
             own = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
             # rows of one key may have other texts

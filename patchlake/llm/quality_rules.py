@@ -143,13 +143,14 @@ def _frame(texts: pd.Series) -> pd.DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = 20_000) -> Trees:
     """Fit on labelled documents: at most `most` of the labels, those of the smallest hash of their key, so that
     the sample is bounded, even and the same each time. Labels that are null, or without a document, are left out;
-    a document with several labels counts once for each."""
+    a document with several labels counts once for each. Of several rows with one key the one whose text has the smallest hash is taken."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_y").limit(most)
+    chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_y").limit(most).withColumn("_label", F.monotonically_increasing_id())
     texts = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     measure = F.pandas_udf(_frame, _STATISTICS)
-    rows = texts.join(F.broadcast(chosen), "_key").select("_key", "_y", measure("_text").alias("s")).select("_key", "_y", "s.*")
-    sample = rows.toPandas().sort_values(["_key", "_y", *FEATURES])  # `most` rows, each with these few numbers, if keys are unique
+    joined = texts.join(F.broadcast(chosen), "_key").groupBy("_key", "_y", "_label").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_one"))
+    rows = joined.select("_key", "_y", measure("_one._text").alias("s")).select("_key", "_y", "s.*")
+    sample = rows.toPandas().sort_values(["_key", "_y", *FEATURES])  # `most` rows, each with these few numbers
     return fit_trees(sample[list(FEATURES)].to_numpy(float), sample["_y"].to_numpy(float), list(FEATURES.values()))
 
 

@@ -3,7 +3,9 @@
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A task's Arrow batches, few rows at a time: what is made of a batch's texts is many times as large as they are.
+    Memory that is let go is given back, as workers live on for other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
