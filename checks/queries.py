@@ -217,6 +217,24 @@ def decoded_files(spark, sf):
     return files.decode_files(raw)
 
 
+def tree_files(spark, sf):
+    """Code files written as a tree of files, and read back without going into skipped folders."""
+    path = scratch(spark)
+    local = path.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["file_path"], batch["content"]):
+                os.makedirs(os.path.dirname(f"{local}/tree/{name}"), exist_ok=True)
+                with open(f"{local}/tree/{name}", "w", newline="") as file:
+                    file.write(content)
+            yield batch[["file_path"]]
+
+    written = corpora.code_files(spark, sf).select("file_path", "content").mapInPandas(write, "file_path string")
+    saved(written, f"{path}/written")
+    return files.read_pruned_tree(spark, path + "/tree", "org/tree", f"{path}/levels")
+
+
 def local_modules(spark, sf):
     return imports.local_modules(corpora.code_files(spark, sf), ["repo"])
 
@@ -607,6 +625,16 @@ def stream_rollup_current(spark, sf):
     return _stable(made).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+def stream_rollup_by_type(spark, sf):
+    """The rollup by type of all windows as they stand, from one pass over the stream; without percentiles, as rollup_from_states."""
+    path, keys = scratch(spark), ["bucket", "metric_name", "metric_type", "repo"]
+    rows = points.metric_rows(corpora.points_of(_event_stream(spark, sf)), at=F.col("ts"), keep=["point_id"])
+    rolled = rollup_stream.windowed_by_type(rows, "1 day", "2 days", by=["repo"])
+    rollup_stream.write_current(rolled, f"{path}/out", f"{path}/checkpoint", keys, once=True).awaitTermination()
+    made = partials.shown(windows_table.current(spark, f"{path}/out", keys), ["repo"]).drop("p50", "p95")
+    return _stable(made).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 def stream_deliveries(spark, sf):
     path = scratch(spark)
     arriving = corpora.deliveries_of(_event_stream(spark, sf))
@@ -649,7 +677,7 @@ QUERIES = {
         security_by_type, security_issues_documents, security_issues_pages, security_issues_conversations,
         security_issues_patches, secrets, personal_data, prompt_injection, security_events, request_security_events,
         points_review, points_security, points_error, points_indexing, points_retrieval, points_embedding, metric_rows,
-        metric_rows_selected, metric_rows_with_tag, stored_points_by_day, rollup_by_type, rollup_from_states, state_percentiles, file_filter, decoded_files, local_modules,
+        metric_rows_selected, metric_rows_with_tag, stored_points_by_day, rollup_by_type, rollup_from_states, state_percentiles, file_filter, decoded_files, tree_files, local_modules,
         classified_imports, imports_by_type, import_edges, reverse_imports,
         affected_files, definition_rows, file_summaries, chunks_function, chunks_code, chunks_fixed,
         chunk_numbers, file_to_chunks, embedding_texts, token_estimates, truncated_texts, token_batches,
@@ -659,7 +687,7 @@ QUERIES = {
         fallback_bodies, file_prompts, request_prompts, request_records, generated_answers, pr_review_points,
         pr_review_all_points, pr_review_comments, pr_review_bodies, request_points, repository_index,
         deliveries_routed, deliveries_routed_unsigned, deliveries_projected, signatures, landed_file_lists,
-        landed_contents, stream_rollup, stream_rollup_current, stream_deliveries, stream_delivery_counts,
+        landed_contents, stream_rollup, stream_rollup_current, stream_rollup_by_type, stream_deliveries, stream_delivery_counts,
         stream_review_points, stream_review_comments,
     )
 } | {f"dash_{name}": _widget(name) for name in dashboard.WIDGETS}

@@ -487,6 +487,9 @@ def _stable(body: str, *columns: str) -> str:
 _BODIES["stored_points_by_day"] = _stable("""select strftime(ts, '%Y-%m-%d') event_date, metric metric_name, count(*) n, sum(value) total from points
     where repo = 'org/r3' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1, 2""", "total")
 _BODIES["rollup_from_states"] = "select * exclude (p50, p95) from (" + _BODIES["rollup_by_type"] + ")"
+_BODIES["stream_rollup_by_type"] = _BODIES["rollup_from_states"]
+_BODIES["tree_files"] = f"""select 'org/tree' repo, file_path, content from code_files
+    where not list_has_any(string_split(file_path, '/'), {_list(fixed.SKIPPED_DIRS)}) and ext in {_in(fixed.INDEXED_EXTENSIONS)}"""
 _BODIES["state_percentiles"] = """select metric metric_name, time_bucket(interval '1 day', ts) bucket, count(*) n, true p50_fits, true p95_fits
     from points where "type" = 'histogram' group by 1, 2"""
 _BODIES["stream_rollup_current"] = "select time_bucket(interval '1 day', ts) bucket, metric metric_name, repo, count(*) n, sum(value) total from points group by 1, 2, 3"
@@ -553,7 +556,7 @@ _BODIES["signatures"] = f"select event_id, {_DIGEST} digest, event_id % 17 <> 0
 
 
 
-for _name, _columns in {"rollup_by_type": ["value", "avg", "max", "p50", "p95"], "pr_rollup": ["cost", "context_utilization"], "pr_review_points": ["value"], "stream_rollup": ["total"], "stream_rollup_current": ["total"], "rollup_from_states": ["value", "avg", "max"]}.items():
+for _name, _columns in {"rollup_by_type": ["value", "avg", "max", "p50", "p95"], "pr_rollup": ["cost", "context_utilization"], "pr_review_points": ["value"], "stream_rollup": ["total"], "stream_rollup_current": ["total"], "rollup_from_states": ["value", "avg", "max"], "stream_rollup_by_type": ["value", "avg", "max"]}.items():
     _BODIES[_name] = _stable(_BODIES[_name], *_columns)
 _WIDGET_COLUMNS = {"prompt_and_completion": ["prompt", "completion"], "files_and_chunks": ["files", "chunks"], "embedding_calls": ["success", "failed"]}
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Size of a sketch. Up to about so many points it holds them all, and its percentiles are exact.
 SKETCH_SIZE = 400
+#: Points of other types have no rule.
+TYPED = "metric_type in ('count', 'gauge', 'histogram')"
 #: Share of ranks by which a percentile of that size is off at most, in 99 of 100 cases.
 RANK_ERROR = 0.01
 
@@ -21,12 +23,16 @@ def hourly(rows: DataFrame, width: str = "1 hour") -> DataFrame:
     point_id. Rows are stored metric rows with point_id. Points are combined before the shuffle. Equal tags in another order make another state.
     """
     hour = F.window("timestamp", width)["start"].alias("_hour")
+    return rows.groupBy("metric_name", "metric_type", "tags", "service", "env", hour).agg(*aggregates()).withColumnRenamed("_hour", "timestamp")
+
+
+def aggregates() -> list[Column]:
+    """What a state holds of its points."""
     values = F.when(F.col("metric_type") == "histogram", F.col("value"))
-    grouped = rows.groupBy("metric_name", "metric_type", "tags", "service", "env", hour).agg(
+    return [
         F.count("*").alias("n_points"), F.count("value").alias("n"), F.sum("value").alias("total"), F.max("value").alias("max"),
         F.max(F.struct("timestamp", "point_id", "value")).alias("last"), F.kll_sketch_agg_double(values, SKETCH_SIZE).alias("sketch"),
-    )
-    return grouped.withColumnRenamed("_hour", "timestamp")
+    ]
 
 
 def merged(states: DataFrame, keys: list[str], width: str) -> DataFrame:
@@ -45,11 +51,16 @@ def percentile(share: float) -> Column:
 
 def by_type(states: DataFrame, keys: list[str], width: str) -> DataFrame:
     """What rollups.by_type gives of the points, from their states; p50 and p95 are those of the sketches."""
-    states = states.where(F.col("metric_type").isin("count", "gauge", "histogram"))
+    rolled = merged(states.where(TYPED), ["metric_name", "metric_type", *keys], width)
+    return shown(rolled.withColumnRenamed("timestamp", "bucket"), keys)
+
+
+def shown(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The numbers of states by the rule of their type: the total of a count, the last value of a gauge, and of a histogram
+    count, average, maximum, median and 95th percentile."""
     kind, is_histogram = F.col("metric_type"), F.col("metric_type") == "histogram"
-    rolled = merged(states, ["metric_name", "metric_type", *keys], width)
-    return rolled.select(
-        "metric_name", "metric_type", *keys, F.col("timestamp").alias("bucket"),
+    return states.select(
+        "metric_name", "metric_type", *keys, "bucket",
         F.when(kind == "count", F.col("total")).when(kind == "gauge", F.col("last.value")).alias("value"),
         F.when(is_histogram, F.col("n_points")).alias("n"),
         F.when(is_histogram, F.col("total") / F.col("n_points")).alias("avg"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from patchlake.functions import tags
+from patchlake.operators import partials
 from patchlake.sources import windows_table
 
 
@@ -25,6 +26,18 @@ def windowed(rows: DataFrame, width: str, late_by: str, by: str | None = None) -
     return rolled.select(F.col("_window.start").alias("bucket"), "metric_name", *([by] if by else []), "n", "total")
 
 
+def windowed_by_type(rows: DataFrame, width: str, late_by: str, by: list[str]) -> DataFrame:
+    """The states (operators/partials) of each window, metric, type and values of the tags `by`: what partials.shown turns into counts, last
+    values of gauges and percentiles. All types are rolled up in one pass and from one state per window and key.
+
+    Points may come late and in any order: the last value of a gauge is the last by its own time, then point_id. Points later than
+    `late_by` behind the newest are left out, and of other types too."""
+    rows = rows.where(partials.TYPED).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late_by)
+    tagged = rows.withColumns({key: tags.value_of(F.col("tags"), key) for key in by})
+    rolled = tagged.groupBy(F.window("timestamp", width).alias("_window"), "metric_name", "metric_type", *by).agg(*partials.aggregates())
+    return rolled.select(F.col("_window.start").alias("bucket"), "metric_name", "metric_type", *by, "n_points", "n", "total", "max", "last", "sketch")
+
+
 def write_final(rolled: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append every window to parquet when it is final. With `once`, take what is there and stop."""
     writer = rolled.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

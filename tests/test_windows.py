@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from patchlake.operators import partials, rollups
 from patchlake.sources import windows_table
 from patchlake.streaming import rollup as stream
 
@@ -70,3 +71,31 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert found(windows_table.current(spark, path, KEYS)) == want
     windows_table.put(states(7).where("repo is null and day(bucket) = 2"), path, 2)
     assert [x[3] for x in found(windows_table.current(spark, path, KEYS))] == [2, 1, 2, 7]
+
+
+def test_rollup_by_type_on_a_stream(spark, tmp_path):
+    """Points out of order and late, in three batches: as the rollup of all points in one."""
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    r = random.Random(9)
+    kinds = [("c", "count"), ("g", "gauge"), ("h", "histogram"), ("x", "set")]
+    rows = []
+    for i in range(600):
+        name, kind = r.choice(kinds)
+        at = dt.datetime(2024, 1, r.choice([1, 2, 3]), r.randrange(24), r.choice([0, 30]))
+        rows.append((i, at, name, kind, r.choice([None, 1.0, 2.5, 7.0]), [("repo", r.choice("ab"))]))
+    schema = "point_id long, timestamp timestamp, metric_name string, metric_type string, value double, tags array<struct<key:string,value:string>>"
+    points = spark.createDataFrame(rows, schema)
+    keys = ["bucket", "metric_name", "metric_type", "repo"]
+    for k in range(3):
+        points.where(f"point_id % 3 = {k}").coalesce(1).write.mode("append").parquet(source)
+        arriving = stream.windowed_by_type(spark.readStream.schema(schema).parquet(source), "1 day", "5 days", by=["repo"])
+        stream.write_current(arriving, out, checkpoint, keys, once=True).awaitTermination()
+    too_late = spark.createDataFrame([(1000, dt.datetime(2024, 3, 1), "c", "count", 1.0, []), (1001, dt.datetime(2024, 3, 1), "c", "count", 1.0, [])], schema)
+    too_late.coalesce(1).write.mode("append").parquet(source)
+    stream.write_current(stream.windowed_by_type(spark.readStream.schema(schema).parquet(source), "1 day", "5 days", by=["repo"]), out, checkpoint, keys, once=True).awaitTermination()
+    spark.createDataFrame([(1002, dt.datetime(2024, 1, 1), "c", "count", 99.0, [("repo", "a")])], schema).coalesce(1).write.mode("append").parquet(source)
+    stream.write_current(stream.windowed_by_type(spark.readStream.schema(schema).parquet(source), "1 day", "5 days", by=["repo"]), out, checkpoint, keys, once=True).awaitTermination()
+    got = partials.shown(windows_table.current(spark, out, keys, last_day="2024-01-31"), ["repo"])
+    want = rollups.by_type(points.withColumn("repo", F.get("tags", F.lit(0))["value"]), ["repo"], "1 day").select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert windows_table.current(spark, out, keys, first_day="2024-02-01").first().n_points == 2
