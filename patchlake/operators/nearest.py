@@ -4,12 +4,17 @@ A grid of cells is laid over the queries and the chunks of a group: a query goes
 rows and columns a group has follows from its counts, so a cell is of a set size however large its group, small groups are one
 cell each, and each row is copied as often as its own group's grid is wide, and no more. In a cell the queries are held as one matrix, the
 chunks stream by in blocks, and only the best of each query are kept. Pairs are never emitted.
+
+Blocks that can't reach a query are not multiplied with it. A block is cut into parts around a few of its own vectors; no vector of
+a part scores more than the query's score with the part's centre and its length times the part's radius. Where that is below the
+worst of the k best so far, the part is passed over for this query. The result is exact; how much is saved depends on how the vectors cluster.
 """
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +27,10 @@ from patchlake.operators.batches import embed_queries
 CHUNK_BLOCK = 4096
 #: About as many queries, which a task holds, and chunks, which stream by, make a cell.
 CELL_QUERIES, CELL_CHUNKS = 4096, 131_072
+#: Parts that a block of chunks is cut into, of about this many rows at least.
+PARTS, PART_ROWS = 32, 32
+#: Scores are kept as floats: a bound closer than this to a score does not rule anything out.
+SLACK = 1e-5
 
 
 def normalized(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -40,6 +49,16 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[rank < k], columns[rank < k]
 
 
+def _parts(block: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows of each part, in order; a row goes to the one of some evenly picked rows that it is closest to."""
+    n = min(PARTS, len(block) // PART_ROWS)
+    if n < 2:
+        return [np.arange(len(block))]
+    picked = block[np.arange(n) * len(block) // n]
+    label = (block @ picked.T - (picked**2).sum(axis=1) / 2).argmax(axis=1)
+    return [np.flatnonzero(label == one) for one in np.unique(label)]
+
+
 class _Cell:
     """The queries of one cell, and the best chunks seen so far for each."""
 
@@ -48,6 +67,7 @@ class _Cell:
         self.parts: list[pd.DataFrame] = []
         self.queries: pd.DataFrame | None = None
         self.found: list[tuple] = []
+        self.pairs = self.skipped = 0  # of queries with parts of blocks
 
     def add_queries(self, part: pd.DataFrame) -> None:
         self.parts.append(part)
@@ -58,10 +78,26 @@ class _Cell:
                 return
             self.queries = pd.concat(self.parts, ignore_index=True)
             self.matrix = np.stack(self.queries["embedding"].to_numpy()).astype(np.float64)
-        scores = (self.matrix @ np.stack(part["embedding"].to_numpy()).astype(np.float64).T).astype(np.float32)
+            self.lengths = np.linalg.norm(self.matrix, axis=1)
+            self.worst = np.full(len(self.matrix), -np.inf)  # score of the k-th best so far
+        block = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+        idx, file = part["idx"].to_numpy(), part["file"].to_numpy()
+        for rows in _parts(block):
+            self._compare(block[rows], idx[rows], file[rows])
+
+    def _compare(self, vectors: np.ndarray, idx: np.ndarray, file: np.ndarray) -> None:
+        centre = vectors.mean(axis=0)
+        radius = np.sqrt(((vectors - centre) ** 2).sum(axis=1).max())
+        near = np.flatnonzero(self.matrix @ centre + self.lengths * radius + SLACK >= self.worst)
+        self.pairs += len(self.matrix)
+        self.skipped += len(self.matrix) - len(near)
+        if not len(near):
+            return
+        asked = self.matrix if len(near) == len(self.matrix) else self.matrix[near]
+        scores = (asked @ vectors.T).astype(np.float32)
         rows, columns = _best(scores, self.k)
-        self.found.append((rows, part["idx"].to_numpy()[columns], part["file"].to_numpy()[columns], scores[rows, columns]))
-        if len(self.found) == 8:
+        self.found.append((near[rows], idx[columns], file[columns], scores[rows, columns]))
+        if sum(len(x[0]) for x in self.found) > 4 * self.k * len(self.matrix) or len(self.found) == 64:
             self._prune()
 
     def _prune(self) -> None:
@@ -70,6 +106,10 @@ class _Cell:
         rows = rows[order]
         order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]
         self.found = [tuple(np.concatenate(x)[order] for x in zip(*self.found))]
+        rows, *_, score = self.found[0]
+        last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else np.zeros(0, int)
+        full = last[np.diff(last, prepend=-1) == self.k]
+        self.worst[rows[full]] = score[full]
 
     def result(self, keys: list[str]) -> pd.DataFrame | None:
         if not self.found:
@@ -81,14 +121,23 @@ class _Cell:
         return out.assign(query_idx=self.queries["idx"].to_numpy()[rows], chunk_idx=idx, own=[a is not None and a == b for a, b in zip(own, file)], score=score)
 
 
-def _with_grid(queries: DataFrame, chunks: DataFrame, group: list[str], cell_size: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _with_grid(
+    queries: DataFrame, chunks: DataFrame, group: list[str], cell_size: tuple[int, int], grid: tuple[int, int] | None = None, most_queries: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both with the rows and columns of their group's grid. Groups without queries or without chunks go."""
-    sides = [df.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in zip((queries, chunks), cell_size, ("_rows", "_columns"))]
+    if most_queries and not grid:
+        rows = F.lit(-(-most_queries // cell_size[0]))
+        queries, chunks = queries.withColumn("_rows", rows), chunks.withColumn("_rows", rows)
+    if grid:
+        return tuple(df.withColumns({"_rows": F.lit(grid[0]), "_columns": F.lit(grid[1])}) for df in (queries, chunks))
+    sizes = zip((queries, chunks), cell_size, ("_rows", "_columns"))
+    sides = [df.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in sizes if name not in df.columns]
     if not group:  # one row of two numbers
-        rows, columns = (side.first()[0] for side in sides)
-        return tuple(df.withColumns({"_rows": F.lit(max(rows, 1)), "_columns": F.lit(max(columns, 1))}) for df in (queries, chunks))
-    grid = null_safe_join(*sides, group)
-    return null_safe_join(queries, grid, group), null_safe_join(chunks, grid, group)
+        known = {name: F.lit(max(side.first()[0], 1)) for side in sides for name in side.columns}
+        return queries.withColumns(known), chunks.withColumns(known)
+    for side in sides:
+        queries, chunks = null_safe_join(queries, side, group), null_safe_join(chunks, side, group)
+    return queries, chunks
 
 
 def nearest(
@@ -100,6 +149,9 @@ def nearest(
     overfetch: int = fixed.OVERFETCH,
     chunk_block: int = CHUNK_BLOCK,
     cell_size: tuple[int, int] = (CELL_QUERIES, CELL_CHUNKS),
+    grid: tuple[int, int] | None = None,
+    most_queries: int | None = None,
+    counted: tuple[Accumulator, Accumulator] | None = None,
 ) -> DataFrame:
     """The k best chunks of every query within its group: group, query_idx, chunk_idx, score, rank.
 
@@ -109,14 +161,17 @@ def nearest(
 
     With `exclude_own_file`, overfetch * k chunks are fetched before the own file's are dropped, so a
     file that owns most of the nearest chunks can leave a query with fewer than k. A task holds the queries of one cell at a time, so
-    `cell_size` (queries, chunks) has to fit a worker; both inputs are counted by group first. Null groups are groups like others.
+    `cell_size` (queries, chunks) has to fit a worker; both inputs are counted by group first, unless a `grid` (rows, columns) is
+    given for all groups. With `most_queries`, a bound of a group's queries, these are not counted, as where they come from a model. Null groups
+    are groups like others.
+    `counted` are two accumulators of the session: pairs of a query with a part of a block, and how many of these were passed over.
     """
     fetched = k * overfetch if exclude_own_file else k
     own_file = F.col("file_path") if exclude_own_file else F.lit(None).cast("string")
 
     queries = queries.where(F.size("embedding") > 0)
     chunks = chunks.where(F.size("embedding") > 0)
-    queries, chunks = _with_grid(queries, chunks, group, cell_size)
+    queries, chunks = _with_grid(queries, chunks, group, cell_size, grid, most_queries)
 
     def copies(n: str, name: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
@@ -136,6 +191,12 @@ def nearest(
     fields += [T.StructField("score", T.FloatType())]
     cell = [*group, "_row", "_column"]
 
+    def done(held: _Cell) -> pd.DataFrame | None:
+        if counted:
+            counted[0].add(held.pairs)
+            counted[1].add(held.skipped)
+        return held.result(group)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: _Cell | None = None
         for batch in batches:
@@ -143,11 +204,11 @@ def nearest(
                 part = batch.iloc[start:end]
                 key = tuple(None if pd.isna(v) else v for v in part[cell].iloc[0])
                 if held is None or key != held.key:
-                    if held is not None and (rows := held.result(group)) is not None:
+                    if held is not None and (rows := done(held)) is not None:
                         yield rows
                     held = _Cell(key, fetched)
                 (held.add_chunks if part["side"].iloc[0] else held.add_queries)(part)
-        if held is not None and (rows := held.result(group)) is not None:
+        if held is not None and (rows := done(held)) is not None:
             yield rows
 
     found = partitioned(both, *cell).sortWithinPartitions(*cell, "side", "idx").mapInPandas(run, T.StructType(fields))
@@ -187,5 +248,5 @@ def find_by_name(
     # the distinct names are few, as they are parameters: each is embedded once, whatever the number of groups
     meant = unmatched.select("query").distinct().withColumn("_text", F.concat(F.lit("function "), F.col("query")))
     asked = unmatched.join(embed_queries(meant, "_text", embed), "query")
-    found = null_safe_join(nearest(asked, chunks, group, k), unmatched, [*group, "query_idx"])
+    found = null_safe_join(nearest(asked, chunks, group, k, most_queries=len(names)), unmatched, [*group, "query_idx"])
     return by_name.unionByName(found.select(*group, "query", "chunk_idx", "score", "rank"))
