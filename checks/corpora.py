@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions import text
-from patchlake.functions.frames import computed, spread
+from patchlake.functions.frames import computed
 from patchlake.operators.deliveries import hmac_sha256
 from patchlake.operators.points import metric_rows
 
@@ -41,8 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, ready for heavy work on each of them."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts, dealt out over all tasks: the given files come in few splits, and what is made of a text is much work."""
+    return table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,15 +21,6 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline_outer(F.array(made)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of an input with few splits among all cores, ahead of heavy work on each row.
-
-    Inputs with enough splits, as large ones have, are left as they are: no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """Rows with equal keys together, in as many partitions as the session is set to.
 
