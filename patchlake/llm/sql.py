@@ -1,6 +1,6 @@
 """Results of the queries in DuckDB SQL, where SQL can express them on whole tables."""
 
-from patchlake.llm.license_scans import KEYWORDS, known_sentences, licence_rules
+from patchlake.llm.license_scans import known_sentences, licence_rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,13 +39,12 @@ def _license_scans() -> str:
     return rf"""
 with known(sentence, id) as (values {known}),
 docs as (select row_number() over () as n, doc_id, text from documents),
-likely as (select * from docs where regexp_matches(text, '(?i){KEYWORDS}')),
 cut as (
   select n, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \t\n\r\f\v]+', '\1' || chr(10) || chr(10), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) as sentence,
     generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \t\n\r\f\v]+', '\1' || chr(10) || chr(10), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1)), 1) as place
-  from likely),
+  from docs),
 whole as (
-  select c.n, c.place, c.sentence, k.id from (select *, {norm("sentence")} as norm from cut where regexp_matches(sentence, '(?i){KEYWORDS}')) c left join known k on k.sentence = c.norm),
+  select c.n, c.place, c.sentence, k.id from (select *, {norm("sentence")} as norm from cut) c left join known k on k.sentence = c.norm),
 by_line as (
   select n, place, unnest(string_split(sentence, chr(10))) as line, generate_subscripts(string_split(sentence, chr(10)), 1) as line_place from whole where id is null and contains(sentence, chr(10))),
 hits as (
