@@ -84,8 +84,8 @@ def test_request_records(spark):
 
 def test_prompts(spark):
     df = pull_request(spark).where("filename = 'a.py'").withColumn("content", F.repeat(F.lit("z"), 60000))
-    with_context = df.withColumn("context", F.lit("CTX")).select(reviews.file_prompt("SYS")).collect()[0][0]
-    assert with_context.startswith("SYS\n\n=== CODEBASE CONTEXT ===\n") and with_context.count("z") == 50000
-    assert "\nCTX\n\n\n=== FILE BEING REVIEWED ===\na.py\n\n" in with_context and with_context.endswith("\n@@ -1 +1 @@\n+x\n")
+    own = reviews.Headings("# context", "# file", "# content", "# patch", "# diff")
+    with_context = df.withColumn("context", F.lit("CTX")).select(reviews.file_prompt("SYS", own)).collect()[0][0]
+    assert with_context == f"SYS\n\n# context\nCTX\n\n\n# file\na.py\n\n# content\n{'z' * 50000}\n\n# patch\n@@ -1 +1 @@\n+x\n"
     without = df.withColumn("context", F.lit("")).select(reviews.file_prompt("SYS")).collect()[0][0]
-    assert without.startswith("SYS\n\n=== FILE BEING REVIEWED ===\na.py")
+    assert without.startswith(f"SYS\n\n{reviews.HEADINGS.file}\na.py")
