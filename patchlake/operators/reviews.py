@@ -22,7 +22,7 @@ FILES_PER_PART = 100
 class Headings:
     """What stands in front of the parts of a prompt. The order of the parts is given, their wording is not."""
 
-    context: str = "Code of the same repository that is close to this change:"
+    context: str = "Code of the same repository that is close to this change,\nto compare names and habits with:"
     file: str = "File:"
     content: str = "Its text after the change:"
     patch: str = "The change to review:"
