@@ -47,3 +47,24 @@ def test_bounds_hold():
             centre = block[rows].mean(0)
             radius = np.sqrt(((block[rows] - centre) ** 2).sum(1).max())
             assert (block[rows] @ q).max() <= q @ centre + np.linalg.norm(q) * radius + 1e-9
+
+
+def test_later_blocks_are_not_ordered_whole(monkeypatch):
+    """Once every query has k chunks, a block's scores are not ordered again, unless many reach the worst of them, as copies do."""
+    r = np.random.default_rng(4)
+    vectors = r.standard_normal((900, 24))
+    vectors[[5, 400, 850]] = vectors[1]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ordered = []
+    best = nearest._best
+    monkeypatch.setattr(nearest, "_best", lambda scores, k: ordered.append(scores.shape) or best(scores, k))
+    ids, files = np.arange(900), np.array([None, "a", "b"] * 300, dtype=object)
+    cell = nearest._Cell((), 4)
+    cell.add_queries(vectors[:50], ids[:50], files[:50])
+    for at in range(0, 900, 300):
+        cell.add_chunks(vectors[at : at + 300], ids[at : at + 300], files[at : at + 300])
+    query, chunk, own, score = cell.result()
+    product = (vectors[:50] @ vectors.T).astype(np.float32)
+    want = [(q, c) for q in range(50) for c in sorted(range(900), key=lambda c: (-product[q, c], c))[:4]]
+    assert list(zip(query.tolist(), chunk.tolist())) == want and len(ordered) == 1
+    assert own.tolist() == [files[q] is not None and files[q] == files[c] for q, c in want]
