@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import corpora
 from patchlake.operators import import_graph, reviews
+from patchlake.plans.review import retrieve
 
 PR = ["repo", "pr"]
 
@@ -50,3 +51,24 @@ def test_starts_of_changed_files(spark, tmp_path):
     whole, start = (reviews.eligible_files(made(spark, str(tmp_path))).select(*keys) for made in (corpora.pr_files, corpora.pr_file_starts))
     assert whole.count() and whole.exceptAll(start).count() == start.exceptAll(whole).count() == 0
     assert corpora.linked_paths(spark, str(tmp_path)).select("repo", "file_path").exceptAll(corpora.linked_files(spark, str(tmp_path)).select("repo", "file_path")).count() == 0
+
+
+def test_files_are_asked_for_once(spark, tmp_path):
+    """The texts of files are read for their queries, and once more for the result; keys come from the saved queries. A file without a text
+    to ask with calls no model, and has the context of its own chunks."""
+    index = spark.createDataFrame(
+        [("r", 1, k, k, "a.py", k + 1, f"n{k}", "x" * k, [1.0, float(k)]) for k in range(4)],
+        "repo string, pr long, chunk_idx long, chunk_ord int, file_path string, start_line int, name string, content string, embedding array<float>",
+    )
+    rows = [("r", 1, 0, "a.py", None, ""), ("r", 1, 1, "b.py", "p", "c"), ("r", 2, 0, "b.py", "p", "c"), (None, None, None, "b.py", "", "c")]
+    files = spark.createDataFrame(rows, "repo string, pr long, file_ord long, file_path string, patch string, content string")
+    read, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return [[1.0, 0.0] for _ in texts]
+
+    made = {(x.pr, x.file_ord): x for x in retrieve(counted(files, read), index, embed, str(tmp_path)).collect()}
+    assert read.value == 2 * len(rows) and asked.value == 3
+    assert len(made) == 4 and [len(made[1, 0].similar), len(made[1, 0].related), len(made[1, 1].similar)] == [0, 3, 4]
+    assert made[1, 0].has_index and not made[2, 0].has_index and not made[None, None].has_index

@@ -68,3 +68,15 @@ def test_later_blocks_are_not_ordered_whole(monkeypatch):
     want = [(q, c) for q in range(50) for c in sorted(range(900), key=lambda c: (-product[q, c], c))[:4]]
     assert list(zip(query.tolist(), chunk.tolist())) == want and len(ordered) == 1
     assert own.tolist() == [files[q] is not None and files[q] == files[c] for q, c in want]
+
+
+def test_vectors_meet_no_sizes_of_small_groups(spark):
+    """Where every group fits into a cell, vectors are shuffled to their cell and not joined before it."""
+    rows = [(g, i, f"f{i % 3}", [float(i % 5 + 1), float(g or 7)]) for g in (1, 2, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "g long, chunk_idx long, file_path string, embedding array<float>")
+    queries = df.withColumnRenamed("chunk_idx", "query_idx")
+    found = nearest.nearest(queries, df, ["g"], 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    parted = nearest.nearest(queries, df, ["g"], 4, cell_size=(5, 5))
+    assert "Join" in parted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, parted.collect())) and found.count() == 144
