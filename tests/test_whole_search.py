@@ -5,7 +5,7 @@ import gc
 import pytest
 from patchlake import fixed
 from patchlake.functions.frames import no_collection
-from patchlake.operators import batches, definitions, reviews
+from patchlake.operators import batches, context, definitions, reviews
 
 LINES = [
     "def a(x):", "  \tdef b (", "def", "\r def c(", "class D", "  class E:", "class class F", "class", "async def g(", " async  def h(", "def i", "x def j(",
@@ -58,3 +58,18 @@ def test_rows_pass_by_models_unchanged(spark):
     assert sorted(map(tuple, answered), key=str) == sorted([(big, "A", 1, 2, 3, None), (None, "B", 1, 2, 3, None), (3, None, None, None, None, "AttributeError")], key=str)
     empty = reviews.generate_answers(df.where("k = 0"), lambda one: (one, 1, 2, 3), "t")
     assert empty.collect() == []
+
+
+def test_texts_of_chunks_are_not_sorted_for_their_matches(spark):
+    """The matches are the side that is held, also those without a chunk, with nulls and with chunks that come twice."""
+    files = spark.createDataFrame([("r", 0, "f"), ("r", 1, "g"), (None, 0, "h")], "repo string, query_idx int, file_path string")
+    matches = spark.createDataFrame([("r", 0, 5, 0.5, 1), ("r", 0, 9, 0.4, 2), (None, 0, 5, 0.5, 1)], "repo string, query_idx int, chunk_idx int, score float, rank int")
+    chunks = spark.createDataFrame(
+        [("r", 5, 9, "f", 1, "n", "one"), ("r", 5, 9, "f", 1, "n", "two"), (None, 5, 9, "f", 1, "n", "three"), ("r", 6, 9, "f", 1, "n", "none")],
+        "repo string, chunk_idx int, chunk_ord int, file_path string, start_line int, name string, content string",
+    )
+    made = context.gather(files, matches, chunks, ["repo"])
+    found = {(x.repo, x.query_idx): [(s.rank, s.content) for s in x.similar] for x in made.collect()}
+    assert found == {("r", 0): [(1, "one"), (1, "two"), (2, None)], ("r", 1): [], (None, 0): [(1, "three")]}
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildLeft" in plan
