@@ -80,3 +80,15 @@ def test_vectors_meet_no_sizes_of_small_groups(spark):
     parted = nearest.nearest(queries, df, ["g"], 4, cell_size=(5, 5))
     assert "Join" in parted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(repr, found.collect())) == sorted(map(repr, parted.collect())) and found.count() == 144
+
+
+def test_many_queries_copy_chunks_less(spark, monkeypatch):
+    """Up to 64 rows of cells each holds as many queries as set; then they hold more, up to four times. Blocks get shorter with them, and nothing else changes."""
+    df = spark.createDataFrame([(i, f"f{i % 3}", [float(i % 17 + 1), float(i % 5), 1.0]) for i in range(400)], "chunk_idx long, file_path string, embedding array<float>")
+    queries = df.withColumnRenamed("chunk_idx", "query_idx")
+    rows = {size: nearest._with_grid(queries, df, [], (size, 500))[0].first()._rows for size in (50, 4, 1)}
+    assert rows == {50: 8, 4: 64, 1: 100}
+    monkeypatch.setattr(nearest, "MOST_PAIRS", 40)
+    small = nearest.nearest(queries, df, [], 4, exclude_own_file=True, cell_size=(4, 60)).collect()
+    monkeypatch.undo()
+    assert sorted(small) == sorted(nearest.nearest(queries, df, [], 4, exclude_own_file=True).collect()) and len(small) > 800
